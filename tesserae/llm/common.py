@@ -101,8 +101,29 @@ def row_hash(df: DataFrame):
     return F.xxhash64(*parts, *[F.isnull(q(f.name)) for f in df.schema.fields])
 
 
-def as_long(column):
-    return column.cast("long")
+def keep_winners(docs: DataFrame, grouped: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows of a group other than its winner.
+
+    ``grouped`` has (id, row, wid, wrow) for each row of a group of two or more: the row's id and row_hash, and those of
+    the row that stays. Rows equal in every column share a key; of those that win, one stays. The removal is an anti
+    join, broadcast while the keys are few, shuffled beyond that.
+    """
+    both = materialize(grouped, "groups")
+    is_winner = F.col("id").eqNullSafe(F.col("wid")) & (F.col("row") == F.col("wrow"))
+    row, rid, rrow = (fresh(docs.columns, x) for x in ("row", "other_id", "other_row"))
+    lost = materialize(both.where(~is_winner).select(q("id").alias(rid), q("row").alias(rrow)).distinct(), "lost")
+    repeated = both.where(is_winner).groupBy("id", "row").count().where("count > 1")
+    repeated = materialize(repeated.select(q("id").alias(rid), q("row").alias(rrow)), "repeated")
+    own = [q(c) for c in docs.columns]
+    keyed = docs.withColumn(row, row_hash(docs))
+    same = q(id_col).eqNullSafe(q(rid)) & (q(row) == q(rrow))
+    kept = keyed.join(maybe_broadcast(lost, lost.count(), 64), same, "left_anti")
+    if n := repeated.count():
+        side = maybe_broadcast(repeated, n, 64)
+        first = F.first(F.struct(*own)).alias(rid)  # the rows of a key are equal
+        once = kept.join(side, same, "left_semi").groupBy(q(id_col), row).agg(first)
+        kept = kept.join(side, same, "left_anti").select(*own).unionByName(once.select(f"`{rid}`.*"))
+    return kept.select(*own)
 
 
 class WordHashes(dict):

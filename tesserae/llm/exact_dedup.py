@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, maybe_broadcast, materialize, q, row_hash
+from .common import keep_winners, materialize, q, row_hash
 
 
 def misra_gries(batches: Iterator[np.ndarray], counters: int) -> dict[int, int]:
@@ -47,8 +47,8 @@ def heavy_digests(digests: DataFrame, counters: int) -> list[tuple[int, int]]:
     return [(r.h, r.n) for r in summed.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(counters).collect()]
 
 
-def losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """(keys of the rows that go, keys of rows that are repeated in full), each (doc_id, row_hash); see exact_dedup."""
+def groups(docs: DataFrame, id_col: str, text_col: str, counters: int) -> DataFrame:
+    """Rows whose text occurs more than once: (id, row, wid, wrow), the row's own key and that of the row that stays."""
     compact = materialize(
         docs.where(q(text_col).isNotNull()).select(
             F.xxhash64(q(text_col)).alias("h"),
@@ -60,27 +60,19 @@ def losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
     )
 
     def winners(rows: DataFrame) -> DataFrame:
-        # min over a struct sorts nulls first, so whether the id is null leads
+        # a struct's null fields sort first, so whether the id is null leads
         least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("w")
         return rows.groupBy("h", "sha").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "sha", F.col("w.id").alias("wid"), F.col("w.row").alias("wrow"))
 
     heavy = heavy_digests(compact, counters)
-    spark = docs.sparkSession
-    if heavy:
-        frequent = F.broadcast(spark.createDataFrame([(h,) for h, _ in heavy], "h long"))  # at most `counters` rows
-        light = compact.join(frequent, "h", "left_anti")
-        found = winners(compact.join(frequent, "h", "left_semi"))  # partial aggregation leaves a row per digest and task
-        verified = F.broadcast(materialize(found, "exact-heavy"))
-        gone = compact.join(verified, ["h", "sha"]).select("id", "row", "wid", "wrow")
-        light_gone = light.join(winners(light), ["h", "sha"]).select("id", "row", "wid", "wrow")
-        both = gone.unionByName(light_gone)
-    else:
-        both = compact.join(winners(compact), ["h", "sha"]).select("id", "row", "wid", "wrow")
-    both = materialize(both, "exact-groups")
-    is_winner = F.col("id").eqNullSafe(F.col("wid")) & (F.col("row") == F.col("wrow"))
-    lost = both.where(~is_winner).select("id", "row").distinct()
-    repeated = both.where(is_winner).groupBy("id", "row").count().where("count > 1").select("id", "row")
-    return lost, repeated
+    if not heavy:
+        return compact.join(winners(compact), ["h", "sha"]).select("id", "row", "wid", "wrow")
+    frequent = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h, _ in heavy], "h long"))  # at most `counters` rows
+    light = compact.join(frequent, "h", "left_anti")
+    found = winners(compact.join(frequent, "h", "left_semi"))  # partial aggregation leaves a row for each digest and task
+    verified = F.broadcast(materialize(found, "exact-heavy"))
+    removed = compact.join(verified, ["h", "sha"]).select("id", "row", "wid", "wrow")
+    return removed.unionByName(light.join(winners(light), ["h", "sha"]).select("id", "row", "wid", "wrow"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
@@ -90,20 +82,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hash over all columns, and of rows equal in every column one stays. A null text is no text: such rows all stay. Empty
     texts are texts and equal each other. An empty table gives an empty table. Extra columns of any name pass through.
     """
-    lost, repeated = losers(docs, id_col, text_col, counters)
-    lost = materialize(lost, "exact-lost")
-    row, rid, rrow = (fresh(docs.columns, x) for x in ("row", "lost_id", "lost_row"))
-    keyed = docs.withColumn(row, row_hash(docs))
-    matches = q(id_col).eqNullSafe(q(rid)) & (q(row) == q(rrow))
-    small = maybe_broadcast(lost.select(q("id").alias(rid), q("row").alias(rrow)), lost.count(), 64)
-    kept = keyed.join(small, matches, "left_anti")
-    twice = materialize(repeated.select(q("id").alias(rid), q("row").alias(rrow)), "exact-repeated")
-    n = twice.count()
-    if n:
-        side = maybe_broadcast(twice, n, 64)
-        once = kept.join(side, matches, "left_semi").groupBy(row, q(id_col)).agg(F.first(F.struct(*[q(c) for c in docs.columns])).alias(rid))
-        kept = kept.join(side, matches, "left_anti").select(*[q(c) for c in docs.columns]).unionByName(once.select(f"`{rid}`.*"))
-    return kept.select(*[q(c) for c in docs.columns])
+    return keep_winners(docs, groups(docs, id_col, text_col, counters), id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality
+from . import exact_dedup, mixing, near_dup, packing, quality
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
     "op3_mixing": mixing.query,
     "op5_quality": quality.query,
+    "op7_jaccard_join": near_dup.query,
     "op10_packing": packing.query,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op7_jaccard_join": near_dup.SQL,
 }
