@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dup, packing, quality
+from . import exact_dedup, line_dedup, mixing, near_dup, packing, quality
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
     "op3_mixing": mixing.query,
     "op5_quality": quality.query,
+    "op6_line_dedup": line_dedup.query,
     "op7_jaccard_join": near_dup.query,
     "op10_packing": packing.query,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op6_line_dedup": line_dedup.SQL,
     "op7_jaccard_join": near_dup.SQL,
 }
