@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, near_dup, packing, quality
+from . import exact_dedup, line_dedup, mixing, near_dup, packing, quality, substring
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
     "op3_mixing": mixing.query,
+    "op4_substring_dedup": substring.query,
     "op5_quality": quality.query,
     "op6_line_dedup": line_dedup.query,
     "op7_jaccard_join": near_dup.query,
@@ -15,6 +16,7 @@ QUERIES = {
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op4_substring_dedup": substring.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op7_jaccard_join": near_dup.SQL,
 }
