@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, near_dup, packing, quality, substring, suffix_array
+from . import exact_dedup, line_dedup, mixing, near_dup, packing, quality, secrets, substring, suffix_array
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality": quality.query,
     "op6_line_dedup": line_dedup.query,
     "op7_jaccard_join": near_dup.query,
+    "op8_secrets": secrets.query,
     "op9_suffix_array": suffix_array.query,
     "op10_packing": packing.query,
 }
@@ -20,5 +21,6 @@ SQL = {
     "op4_substring_dedup": substring.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op7_jaccard_join": near_dup.SQL,
+    "op8_secrets": secrets.query,
     "op9_suffix_array": suffix_array.SQL,
 }
