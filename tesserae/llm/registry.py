@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, near_dup, packing, quality, secrets, substring, suffix_array
+from . import ann, exact_dedup, line_dedup, mixing, near_dup, packing, quality, secrets, substring, suffix_array
 
 QUERIES = {
+    "op1_ann": ann.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_mixing": mixing.query,
     "op4_substring_dedup": substring.query,
