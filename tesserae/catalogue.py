@@ -1,12 +1,632 @@
-"""Every registered query of the retrieval engine, with its SQL."""
+"""Every registered query of the retrieval engine, with its SQL.
+
+The tables play these roles: documents are blocks (facets lang and source), benchmark passages are judged queries, labels
+are facets with gaps, events are episodes, embeddings are vectors, pages are evidence with origins, and customer, nation,
+region, orders and lineitem are typed edges.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import ingest, scoring
+from .functions.text import STOPWORDS, TOKEN, chunks, exact_fold, language, query_tokens
+from .operators import fusion, graph, lexical, lifecycle, masks, stats, vector
+from .plans import planner, search
+from .sources.files import clean_origin
+from .streaming import events as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+TEXT = "the thing and they hared"
+WORDS = ["there", "thing", "and"]
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.analysed(table(spark, sf_dir, "documents"))
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+TOKENS = f"tok AS (SELECT doc_id AS id, text, list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda t: length(t) >= 2) AS tokens FROM documents)"
+TERMS = query_tokens(TEXT)
+_T = _list(TERMS)
+BM25 = f"""{TOKENS}, len AS (SELECT id, tokens, len(tokens) AS length FROM tok WHERE len(tokens) > 0),
+tot AS (SELECT count(*) AS n, avg(length) AS average FROM len),
+p AS (SELECT id, length, t, len(list_filter(tokens, lambda x: x = t)) AS tf FROM len, unnest({_T}) AS u(t)),
+dfs AS (SELECT t, count(*) FILTER (WHERE tf > 0) AS df FROM p GROUP BY t),
+w AS (SELECT t, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM dfs, tot),
+ceil AS (SELECT sum(idf * {scoring.K1 + 1} / {scoring.K1 * (1 - scoring.B) + 1}) AS most FROM w),
+bm AS (SELECT id, round(least(1.0, sum(CASE WHEN tf > 0 THEN idf * tf * {scoring.K1 + 1} / (tf + {scoring.K1} * ({1 - scoring.B} + {scoring.B} * length / average)) ELSE 0 END) / any_value(most)), 6) AS score
+  FROM p JOIN w USING (t), tot, ceil GROUP BY id HAVING max(tf) > 0)"""
+HASHED = f"""hs AS (SELECT id, t, count(*) AS c FROM (SELECT id, unnest(tokens) AS t FROM tok) GROUP BY ALL),
+hb AS (SELECT id, CAST(('0x' || substr(sha256(t), 1, 8))::BIGINT % {scoring.DIMS} AS INT) AS bucket,
+  sum(CASE WHEN ('0x' || substr(sha256(t), 10, 1))::BIGINT % 2 = 1 THEN -1.0 ELSE 1.0 END * c) AS x FROM hs GROUP BY ALL HAVING x <> 0),
+hv AS (SELECT id, bucket, round(CAST(x AS DOUBLE) / sqrt(sum(CAST(x * x AS DOUBLE)) OVER (PARTITION BY id)), 6) AS value FROM hb)"""
+_SEQ = " + ".join(f"CAST(contains(lower(text), '{t}') AS INT)" for t in TERMS)
+SEQ = f"seq AS (SELECT id, score FROM (SELECT doc_id AS id, ({_SEQ}) / {float(len(TERMS))} AS score FROM documents) WHERE score > 0)"
+_QV = "{" + ", ".join(f"{b}: {x!r}" for b, x in search.query_vector(TEXT).items()) + "}"
+
+
+# scans and masks
+
+
+@query(f"WITH {SEQ} SELECT * FROM seq")
+def seq_scan_terms(spark, d):
+    return lexical.seq_scan(table(spark, d, "documents"), TEXT)
+
+
+@query("SELECT doc_id AS id, 1.0::DOUBLE AS score FROM documents WHERE sha256(text) = (SELECT sha256(text) FROM documents WHERE doc_id = 7)")
+def exact_lookup_digest(spark, d):
+    docs = lifecycle.with_block_id(table(spark, d, "documents"))
+    key = docs.where("doc_id = 7").select(F.col("block_id").alias("key"))  # one row
+    return docs.join(F.broadcast(key), F.col("block_id") == F.col("key")).select(F.col("doc_id").alias("id"), F.lit(1.0).alias("score"))
+
+
+@query("SELECT p_partkey AS id, 1.0::DOUBLE AS score FROM part WHERE trim(lower(p_name)) = (SELECT trim(lower(p_name)) FROM part WHERE p_partkey = 3)")
+def exact_lookup_label(spark, d):
+    part = table(spark, d, "part")
+    label = part.where("p_partkey = 3").select("p_name").first()[0]
+    return masks.exact_lookup(part, label.upper(), "p_partkey", names=["p_name"])
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-09'")
+def range_scan_time(spark, d):
+    return masks.range_scan(table(spark, d, "events"), "ts", F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-09").cast("timestamp")).select("event_id", "user_id")
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'S')")
+def range_scan_prefix(spark, d):
+    return masks.range_scan(table(spark, d, "part"), "p_type", prefix="S").select("p_partkey", "p_type")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 300000")
+def range_open_ended(spark, d):
+    return masks.range_scan(table(spark, d, "orders"), "o_totalprice", low=300000).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def range_descending(spark, d):
+    return masks.range_scan(table(spark, d, "orders"), "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT doc_id FROM documents WHERE lang IN ('de', 'fr')")
+def facet_any(spark, d):
+    return table(spark, d, "documents").where(masks.facet_clause("lang", ["de", "fr"])).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE NOT coalesce(source IN ('src0', 'src1'), false)")
+def facet_negate(spark, d):
+    return table(spark, d, "documents").where(masks.facet_clause("source", ["src0", "src1"], negate=True)).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND source IN ('src1', 'src2') AND quality = 1")
+def facet_conjunction(spark, d):
+    docs = table(spark, d, "documents").where(masks.facet_clause("lang", ["en"]) & masks.facet_clause("source", ["src1", "src2"]))
+    return docs.join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id").select("doc_id")
+
+
+@query(f"WITH {TOKENS} SELECT id FROM tok WHERE list_has_all(tokens, ['the', 'and'])")
+def tags_contains_all(spark, d):
+    return analysed(spark, d).where(masks.facet_clause("tokens", ["the", "and"], every=True)).select("id")
+
+
+@query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic >= 0")
+def null_fails_window(spark, d):
+    joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return masks.range_scan(joined, "toxic", low=0).select("doc_id")
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'utm') ORDER BY page_id LIMIT 20 OFFSET 5")
+def listing_page_contains(spark, d):
+    return masks.listing(table(spark, d, "pages").select("page_id", "url"), "page_id", "UTM", ["url"], 5, 20)
+
+
+# lexical
+
+
+@query(f"WITH {TOKENS} SELECT id, CAST(len(tokens) AS INT) AS n FROM tok")
+def tokenize_counts(spark, d):
+    return analysed(spark, d).select("id", F.size("tokens").alias("n"))
+
+
+@query(f"WITH {TOKENS} SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(tokens) AS term FROM tok) GROUP BY ALL")
+def postings_tf(spark, d):
+    return lexical.postings(analysed(spark, d))
+
+
+@query(f"WITH {TOKENS} SELECT count(*) AS docs, round(avg(len(tokens)), 6) AS average FROM tok WHERE len(tokens) > 0")
+def doc_lengths_avgdl(spark, d):
+    return lexical.lengths(analysed(spark, d)).agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("length"), 6).alias("average"))
+
+
+@query(f"WITH {TOKENS} SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(tokens) AS term FROM tok) GROUP BY term")
+def term_df(spark, d):
+    return lexical.document_frequencies(analysed(spark, d))
+
+
+@query(f"WITH {TOKENS} SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(tokens) AS term FROM tok) GROUP BY term ORDER BY df DESC, term LIMIT 100")
+def frequent_terms(spark, d):
+    return lexical.frequent_terms(analysed(spark, d))
+
+
+@query(f"WITH {BM25} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 40")
+def bm25_topk(spark, d):
+    return lexical.term_scan(analysed(spark, d), TEXT).orderBy(F.desc("score"), "id").limit(40)
+
+
+@query(f"WITH {BM25} SELECT id, score FROM bm WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def bm25_masked(spark, d):
+    mask = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
+    return lexical.term_scan(analysed(spark, d), TEXT, mask)
+
+
+@query(f"WITH {TOKENS} SELECT id FROM tok WHERE list_has_any(tokens, ['the', 'der']) AND list_has_any(tokens, ['and', 'und'])")
+def term_all_groups(spark, d):
+    return lexical.all_groups(analysed(spark, d), [["the", "der"], ["and", "und"]])
+
+
+@query(f"WITH {TOKENS} SELECT id FROM tok WHERE contains(' ' || array_to_string(tokens, ' ') || ' ', ' of the ')")
+def phrase_filter(spark, d):
+    return lexical.phrase(analysed(spark, d), ["of", "the"])
+
+
+@query(f"""WITH {TOKENS}, v AS (SELECT DISTINCT unnest(tokens) AS t FROM tok), q AS (SELECT unnest({_list(query_tokens("theer zzyzx qwghlm"))}) AS t)
+SELECT CAST(count(*) AS INT) AS terms, CAST(count(*) FILTER (WHERE t NOT IN (SELECT t FROM v)) AS INT) AS unseen, count(*) FILTER (WHERE t NOT IN (SELECT t FROM v)) / count(*) AS ratio FROM q""")
+def oov_ratio(spark, d):
+    return lexical.out_of_vocabulary(analysed(spark, d), "theer zzyzx qwghlm")
+
+
+@query(f"WITH {TOKENS} SELECT id, CASE WHEN len(list_filter(tokens, lambda t: list_contains({_list(STOPWORDS['es'])}, t))) > len(list_filter(tokens, lambda t: list_contains({_list(STOPWORDS['en'])}, t))) THEN 'es' ELSE 'en' END AS lang FROM tok")
+def language_guess(spark, d):
+    return analysed(spark, d).select("id", language(F.col("tokens")).alias("lang"))
+
+
+@query("SELECT doc_id, trim(replace(lower(text), 'ß', 'ss'), ' ' || chr(9) || chr(10)) AS key FROM documents")
+def fold_exact(spark, d):
+    return table(spark, d, "documents").select("doc_id", exact_fold("text").alias("key"))
+
+
+# vectors
+
+_Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+_DOT = "round(greatest(0.0, list_dot_product(embedding::DOUBLE[], {q}::DOUBLE[])), 6)"
+
+
+def _q0(spark, d):
+    return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]]
+
+
+@query(f"SELECT vec_id AS id, {_DOT.format(q=_Q0)} AS score FROM embeddings ORDER BY score DESC, id LIMIT 10")
+def cosine_topk(spark, d):
+    return vector.brute_vector(table(spark, d, "embeddings"), _q0(spark, d), 10)
+
+
+@query(f"SELECT vec_id AS id, {_DOT.format(q=_Q0)} AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, id LIMIT 10")
+def cosine_masked(spark, d):
+    e = table(spark, d, "embeddings")
+    return vector.brute_vector(e, _q0(spark, d), 10, mask=e.where("label = 3").select(F.col("vec_id").alias("id")))
+
+
+@query("""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 32)
+SELECT q, id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10""")
+def cosine_probes(spark, d):
+    e = table(spark, d, "embeddings")
+    return vector.cosine_join(e, e.where("vec_id < 32"), 10)
+
+
+@query()
+def lsh_ann(spark, d):
+    e = table(spark, d, "embeddings")
+    return vector.lsh_search(e, e.where("vec_id < 32"), 10)
+
+
+@query()
+def recall_curve(spark, d):
+    e = table(spark, d, "embeddings")
+    exact = vector.cosine_join(e, e.where("vec_id < 32"), 10)
+    out = None
+    for n in (8, 16, 32):
+        row = vector.recall(exact, vector.lsh_search(e, e.where("vec_id < 32"), 10, tables=n), 10).select(F.lit(n).alias("effort"), "recall")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"WITH {TOKENS}, {HASHED} SELECT * FROM hv")
+def hashing_embed(spark, d):
+    return vector.hashed_terms(analysed(spark, d))
+
+
+@query("""WITH h AS (SELECT vec_id % 100 AS block, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score, vec_id // 100 AS chunk FROM embeddings)
+SELECT block, greatest(0.0, score) AS score, chunk FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY score DESC, chunk) AS rn FROM h) WHERE rn = 1""")
+def best_chunk_per_block(spark, d):
+    q = F.array(*[F.lit(x) for x in _q0(spark, d)])
+    hits = table(spark, d, "embeddings").select((F.col("vec_id") % 100).alias("block"), F.round(scoring.dot(F.col("embedding"), q), 6).alias("score"), F.floor(F.col("vec_id") / 100).alias("chunk"))
+    return vector.best_chunk(hits)
+
+
+@query()
+def chunk_spans(spark, d):
+    c = table(spark, d, "documents").select("doc_id", F.explode(chunks("text")).alias("c"))
+    return c.select("doc_id", "c.position", "c.start", "c.end", F.sha2("c.text", 256).alias("digest"))
+
+
+# fusion and the tail
+
+_RRF = f"""r AS (SELECT id, 'seq' AS g, row_number() OVER (ORDER BY score DESC, id) AS rank FROM seq UNION ALL
+  SELECT id, 'term', row_number() OVER (ORDER BY score DESC, id) FROM bm),
+f AS (SELECT id, round(sum({{w}} / ({scoring.RRF_K} + rank)), 9) AS score FROM r WHERE rank <= 40 GROUP BY id)"""
+
+
+def _lists(spark, d, k=40):
+    docs = table(spark, d, "documents")
+    return [fusion.ranked(lexical.seq_scan(docs, TEXT), "seq", k), fusion.ranked(lexical.term_scan(lexical.analysed(docs), TEXT), "term", k)]
+
+
+@query(f"WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')} SELECT id, score FROM f ORDER BY score DESC, id LIMIT 10")
+def rrf_two_generators(spark, d):
+    return fusion.top(fusion.fuse(_lists(spark, d), {"seq": 1.0, "term": 1.0}), 10).select("id", "score")
+
+
+@query(f"WITH {BM25}, {SEQ}, {_RRF.format(w=chr(67) + 'ASE WHEN g = ' + chr(39) + 'term' + chr(39) + ' THEN 0.85 ELSE 0.5 END')} SELECT id, score FROM f ORDER BY score DESC, id LIMIT 10")
+def rrf_weighted_by_intent(spark, d):
+    return fusion.top(fusion.fuse(_lists(spark, d), planner.PROFILES["lexical"][0]), 10).select("id", "score")
+
+
+@query(f"""WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')}, x AS (SELECT id, score FROM f UNION ALL SELECT 5, round(1.0 + 0.5 / 61, 9))
+SELECT id, round(sum(score), 9) AS score FROM x GROUP BY id ORDER BY score DESC, id LIMIT 10""")
+def exact_first(spark, d):
+    hit = table(spark, d, "documents").where("doc_id = 5").select(F.col("doc_id").alias("id"), F.lit(1.0).alias("score"))
+    lists = [*_lists(spark, d), fusion.ranked(hit, "exact", 1, exact=True)]
+    return fusion.top(fusion.fuse(lists, {"seq": 1.0, "term": 1.0}), 10).select("id", "score")
+
+
+@query(f"""WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')}, t AS (SELECT id, score FROM f ORDER BY score DESC, id LIMIT 10)
+SELECT id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank, score, printf('%.2f', round_even(score / max(score) OVER (), 2)) AS shown FROM t""")
+def normalize_render(spark, d):
+    return fusion.normalised(fusion.top(fusion.fuse(_lists(spark, d), {"seq": 1.0, "term": 1.0}), 10))
+
+
+@query(f"WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')} SELECT id, score FROM f WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY score DESC, id LIMIT 10")
+def accessibility_anti(spark, d):
+    gone = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    return fusion.top(fusion.accessible(fusion.fuse(_lists(spark, d), {"seq": 1.0, "term": 1.0}), gone), 10).select("id", "score")
+
+
+@query(f"WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')} SELECT id, score, (SELECT count(*) FROM f) > 10 AS truncated FROM f ORDER BY score DESC, id LIMIT 10")
+def truncated_flag(spark, d):
+    return fusion.bundle(fusion.fuse(_lists(spark, d), {"seq": 1.0, "term": 1.0}), 10).select("id", "score", "truncated")
+
+
+@query("SELECT 'pages' AS module, page_id AS id FROM pages UNION ALL SELECT 'events', event_id FROM events WHERE event_type = 'click'")
+def merge_modules(spark, d):
+    pages = table(spark, d, "pages").select(F.lit("pages").alias("module"), F.col("page_id").alias("id"))
+    return pages.unionByName(table(spark, d, "events").where("event_type = 'click'").select(F.lit("events").alias("module"), F.col("event_id").alias("id")))
+
+
+@query("SELECT doc_id AS id, 1.0::DOUBLE AS score, 'sha256:' || sha256(text) AS digest FROM documents WHERE doc_id % 5 = 0 AND lang = 'en'")
+def verify_members(spark, d):
+    docs = lifecycle.with_block_id(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("block_id").alias("digest"), F.col("text").cast("binary").alias("data"), "lang")
+    rows = docs.where("id % 5 = 0").select("id", F.lit(1.0).alias("score"))
+    return fusion.verified(rows, docs.where("lang = 'en'"), docs)
+
+
+def _hybrid(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    known = planner.Statistics(blocks=100_000, postings=2_000_000, vectors=2_000)
+    asked = planner.Query(TEXT, mode="auto")
+    kind, _, plans = planner.choose(asked, known)
+    plan = next(p for p in plans if p.generators == ("term", "brute") and p.pool == 40)
+    return search.run(docs, asked, plan, kind)
+
+
+@query(f"""WITH {BM25}, {HASHED}, qv AS (SELECT MAP {_QV} AS m),
+hc AS (SELECT id, round(sum(value * m[bucket]), 6) AS score FROM hv, qv WHERE m[bucket] IS NOT NULL GROUP BY id HAVING round(sum(value * m[bucket]), 6) > 0),
+r AS (SELECT id, 0.5 AS w, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm UNION ALL SELECT id, 0.75, row_number() OVER (ORDER BY score DESC, id) FROM hc),
+t AS (SELECT id, round(sum(w / ({scoring.RRF_K} + rank)), 9) AS score FROM r WHERE rank <= 40 GROUP BY id ORDER BY score DESC, id LIMIT 10)
+SELECT id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank, score, printf('%.2f', round_even(score / max(score) OVER (), 2)) AS shown FROM t""")
+def hybrid_search(spark, d):
+    return _hybrid(table(spark, d, "documents"), spark)
+
+
+# graph
+
+
+def edges(spark, d) -> DataFrame:
+    """customer -> nation -> region, and order -> customer; ids carry their table."""
+    name = lambda t, c: F.concat(F.lit(f"{t}:"), F.col(c).cast("string"))
+    e = lambda df, a, b, kind, w: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"), F.lit(w).alias("weight"))
+    return (
+        e(table(spark, d, "customer"), name("c", "c_custkey"), name("n", "c_nationkey"), "lives_in", 1.0)
+        .unionByName(e(table(spark, d, "nation"), name("n", "n_nationkey"), name("r", "n_regionkey"), "part_of", 0.9))
+        .unionByName(e(table(spark, d, "orders"), name("o", "o_orderkey"), name("c", "o_custkey"), "placed_by", 0.8))
+    )
+
+
+EDGES = """e AS (SELECT 'c:' || c_custkey AS src, 'n:' || c_nationkey AS dst, 'lives_in' AS kind, 1.0::DOUBLE AS weight FROM customer
+  UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 'part_of', 0.9 FROM nation UNION ALL SELECT 'o:' || o_orderkey, 'c:' || o_custkey, 'placed_by', 0.8 FROM orders)"""
+_WALK = """WITH RECURSIVE {e}, s AS (SELECT DISTINCT src AS id FROM e WHERE kind = 'placed_by' AND hash_ok(src)),
+w AS (SELECT id, 1.0::DOUBLE AS score, 0 AS depth FROM s UNION ALL SELECT dst, score * weight * 0.5, depth + 1 FROM w JOIN e ON id = src WHERE depth < {n})
+SELECT id, round(max(score), 9) AS score, min(depth) AS depth FROM w WHERE depth > 0 AND id NOT IN (SELECT id FROM s) GROUP BY id"""
+
+
+def _walk(n):
+    return _WALK.replace("{e}", EDGES).replace("{n}", str(n)).replace(" AND hash_ok(src)", "")
+
+
+def _seeds(spark, d):
+    return edges(spark, d).where("kind = 'placed_by'").select(F.col("src").alias("id"))
+
+
+@query(f"WITH {EDGES} SELECT dst AS id, kind, weight FROM e WHERE src IN ('c:1', 'n:3', 'o:5')")
+def neighbours_out(spark, d):
+    return graph.neighbours(edges(spark, d), ["c:1", "n:3", "o:5"])
+
+
+@query(f"WITH {EDGES} SELECT src AS id, kind, weight FROM e WHERE dst IN ('n:3', 'r:1') AND kind = 'lives_in'")
+def neighbours_in(spark, d):
+    return graph.neighbours(edges(spark, d), ["n:3", "r:1"], inbound=True, kinds=["lives_in"])
+
+
+@query(_walk(1))
+def expand_depth1(spark, d):
+    return graph.expand(edges(spark, d), _seeds(spark, d), 1)
+
+
+@query(_walk(3))
+def expand_depth3(spark, d):
+    return graph.expand(edges(spark, d), _seeds(spark, d), 3)
+
+
+@query(f"""WITH {EDGES}, s AS (SELECT DISTINCT src AS id FROM e WHERE kind = 'lives_in'), a AS (SELECT dst AS id, round(max(weight * 0.5), 9) AS score FROM e JOIN s ON src = s.id WHERE kind = 'lives_in' GROUP BY dst)
+SELECT id, score, 1 AS depth FROM a""")
+def federated_expand(spark, d):
+    e = edges(spark, d)
+    seeds = e.where("kind = 'lives_in'").select(F.col("src").alias("id"))
+    return graph.federated([e.where("kind = 'lives_in'"), e.where("kind = 'part_of'")], seeds, 2)
+
+
+@query(f"""WITH {EDGES}, n AS (SELECT src AS id, 1 AS o FROM e UNION ALL SELECT dst, 0 FROM e), p AS (SELECT id, sum(o) AS d FROM n GROUP BY id)
+SELECT count(*) AS nodes, CAST(sum(d) AS BIGINT) AS edges, round(avg(d), 6) AS mean, CAST(max(d) AS BIGINT) AS most FROM p""")
+def degree_stats(spark, d):
+    return graph.degrees(edges(spark, d))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT DISTINCT src AS start, src AS id, 0 AS depth FROM e WHERE kind = 'placed_by' UNION SELECT start, dst, depth + 1 FROM w JOIN e ON id = src WHERE depth < 3),
+k AS (SELECT start, id, min(depth) AS depth FROM w WHERE id <> start GROUP BY ALL), n AS (SELECT count(DISTINCT start) AS n FROM w)
+SELECT CAST(h AS INT) AS depth, round(count(*) FILTER (WHERE k.depth <= h) / any_value(n), 6) AS reach FROM k, n, range(1, 4) AS t(h) GROUP BY h""")
+def reach_by_depth(spark, d):
+    return graph.reach(edges(spark, d), _seeds(spark, d), 3)
+
+
+@query(f"WITH {EDGES} SELECT kind, count(*) AS n FROM e GROUP BY kind")
+def predicate_counts(spark, d):
+    return edges(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EDGES} SELECT DISTINCT dst AS id FROM e WHERE kind IN ('lives_in', 'placed_by') AND dst NOT IN (SELECT src FROM e WHERE kind IN ('lives_in', 'placed_by'))")
+def external_targets(spark, d):
+    e = edges(spark, d).where("kind in ('lives_in', 'placed_by')")
+    return e.select(F.col("dst").alias("id")).distinct().join(e.select(F.col("src").alias("id")), "id", "left_anti")
+
+
+# statistics
+
+
+@query("SELECT 'lang' AS facet, lang AS value, count(*) AS count FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
+def facet_counts(spark, d):
+    return stats.facet_counts(table(spark, d, "documents"), ["lang", "source"])
+
+
+@query("SELECT 'p_type' AS facet, p_type AS value, count(*) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, p_type) AS INT) AS place FROM part GROUP BY p_type QUALIFY place <= 32")
+def column_stats_top32(spark, d):
+    return stats.top_values(table(spark, d, "part"), ["p_type"])
+
+
+@query("""WITH o AS (SELECT o_totalprice AS k, row_number() OVER (ORDER BY o_totalprice) - 1 AS r, count(*) OVER () AS n FROM orders)
+SELECT CAST(r // greatest(1, n // 32) AS INT) AS bucket, min(k) AS low, count(*) AS count FROM o GROUP BY 1""")
+def equi_depth_histogram(spark, d):
+    return stats.histogram(table(spark, d, "orders"), "o_totalprice")
+
+
+@query("SELECT min(ts) AS low, max(ts) AS high, count(*) AS n FROM events")
+def time_min_max(spark, d):
+    return table(spark, d, "events").agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.count("ts").alias("n"))
+
+
+@query("SELECT text, count(*) AS count, min(doc_id) AS least FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicates(spark, d):
+    return stats.duplicates(table(spark, d, "documents"), "text", "doc_id")
+
+
+@query("SELECT sha256(string_agg(CAST(n_nationkey AS VARCHAR), chr(10) ORDER BY CAST(n_nationkey AS VARCHAR))) AS digest FROM nation")
+def leaf_fingerprint(spark, d):
+    return stats.fingerprint(table(spark, d, "nation"), "n_nationkey")
+
+
+@query("""WITH v AS (SELECT list_sort(list(value)) AS v FROM events)
+SELECT f::DOUBLE AS fraction, v[CAST(least(len(v) - 1, floor(f::DOUBLE * len(v))) AS INT) + 1] AS value FROM v, unnest([0.5, 0.95, 0.99]) AS t(f)""")
+def latency_percentiles_nearest_rank(spark, d):
+    return stats.percentiles(table(spark, d, "events"), "value", [0.5, 0.95, 0.99])
+
+
+# ingest
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') || chr(10) AS text FROM documents")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", ingest.plain(F.col("text")).alias("text"))
+
+
+@query()
+def html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", ingest.html_text("html").alias("text"))
+
+
+@query("SELECT event_id, CAST(json(props) AS VARCHAR) AS props FROM events")
+def json_canonical(spark, d):
+    return table(spark, d, "events").select("event_id", ingest.canonical_json("props").alias("props"))
+
+
+@query("SELECT page_id, CASE regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1) WHEN 'html' THEN 'text/html' WHEN 'md' THEN 'text/markdown' WHEN 'txt' THEN 'text/plain' WHEN 'json' THEN 'application/json' WHEN 'pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END AS media_type FROM pages")
+def media_type_suggest(spark, d):
+    return table(spark, d, "pages").select("page_id", ingest.media_type(F.col("url")).alias("media_type"))
+
+
+@query("SELECT 'sha256:' || sha256(text) AS block_id, count(*) AS n FROM documents GROUP BY 1")
+def block_ids_sha(spark, d):
+    return lifecycle.with_block_id(table(spark, d, "documents")).groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT 'sha256:' || sha256(text) AS block_id FROM documents WHERE lang <> 'en' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
+def register_dedup(spark, d):
+    docs = lifecycle.with_block_id(table(spark, d, "documents"))
+    return lifecycle.register(docs.where("lang <> 'en'").select("block_id"), docs.where("lang = 'en'"))
+
+
+@query("""WITH p AS (SELECT page_id, lower(trim(url)) AS origin, 'sha256:' || sha256(html) AS digest FROM pages)
+SELECT a.page_id, CASE WHEN a.digest IN (SELECT digest FROM p WHERE page_id % 7 = 3) OR a.origin IN (SELECT origin FROM p WHERE page_id % 2 = 0) THEN 'skipped'
+  WHEN a.digest IN (SELECT digest FROM p WHERE page_id % 2 = 0) THEN 'duplicate' ELSE 'registered' END AS outcome FROM p a""")
+def pull_outcomes(spark, d):
+    items = table(spark, d, "pages").select("page_id", F.lower(F.trim("url")).alias("origin"), F.concat(F.lit("sha256:"), F.sha2("html", 256)).alias("digest"))
+    out = lifecycle.pull_outcomes(items, items.where("page_id % 2 = 0"), "origin", items.where("page_id % 7 = 3"), "digest")
+    return out.select("page_id", "outcome")
+
+
+@query()
+def page_origins(spark, d):
+    return table(spark, d, "pages").groupBy(clean_origin(F.col("url")).alias("origin")).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars < 200 THEN 'rejected' WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE source = 'src0') THEN 'duplicate'
+  WHEN lang = 'es' THEN 'pending_review' ELSE 'validated' END AS status FROM documents""")
+def validate_duplicates(spark, d):
+    docs = lifecycle.with_block_id(table(spark, d, "documents"))
+    c = docs.select("doc_id", "block_id", F.when(F.col("n_chars") >= 200, F.array(F.lit("x"))).alias("evidence"), F.when(F.col("lang") == "es", "0.40").otherwise("0.90").alias("confidence"))
+    return lifecycle.validation(c, docs.where("source = 'src0'"), "block_id", "evidence").select("doc_id", "status")
+
+
+# lifecycle
+
+
+@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT 'r:1' AS id UNION SELECT src FROM c JOIN e ON dst = id) SELECT id FROM c""")
+def cascade_plan(spark, d):
+    return graph.closure(edges(spark, d), spark.createDataFrame([("r:1",)], "id string"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT 'n:3' AS id UNION SELECT src FROM c JOIN e ON dst = id) SELECT 'c:' || c_custkey AS id FROM customer WHERE 'c:' || c_custkey NOT IN (SELECT id FROM c)""")
+def drop_composition(spark, d):
+    members = table(spark, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
+    return members.join(graph.closure(edges(spark, d), spark.createDataFrame([("n:3",)], "id string")), "id", "left_anti")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def supersede_accessibility(spark, d):
+    gone = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
+    return fusion.accessible(table(spark, d, "documents").select(F.col("doc_id").alias("id")), gone)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def prune_plan(spark, d):
+    return lifecycle.prune_plan(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@query("""SELECT CASE WHEN l.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'tombstoned' WHEN l.lang IN ('en', 'de') THEN 'resolvable' ELSE 'missing' END AS state, count(*) AS count FROM documents l GROUP BY 1""")
+def redact_resolvability(spark, d):
+    docs = table(spark, d, "documents")
+    return lifecycle.resolvability(docs.select("doc_id"), docs.where("lang in ('en', 'de')"), table(spark, d, "labels").where("toxic = 1"), "doc_id")
+
+
+def _histories(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    return docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 <> 1"), docs.where("doc_id % 5 <> 2 and doc_id % 5 <> 0")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 IN (0, 3, 4)")
+def reconcile_composition(spark, d):
+    return lifecycle.reconcile(*_histories(spark, d), "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'ours' ELSE 'theirs' END AS side FROM documents WHERE doc_id % 5 IN (1, 2)")
+def reconcile_conflicts(spark, d):
+    return lifecycle.conflicts(*_histories(spark, d), "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 5 = 1 THEN 'removed' ELSE 'unchanged' END AS change FROM documents")
+def build_delta(spark, d):
+    base, ours, _ = _histories(spark, d)
+    return lifecycle.delta(base, ours, "doc_id")
+
+
+# retrieval quality
+
+
+def _judged(spark, d):
+    """The documents that hold each passage verbatim, and the ten that the terms of the passage find best."""
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
+    relevant = docs.join(F.broadcast(bench.select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage")).select("item_id", F.col("doc_id").alias("id"))
+    asked = lexical.analysed(bench, "item_id").select(F.col("id").alias("item_id"), F.explode(F.array_distinct("tokens")).alias("term"))
+    held = lexical.analysed(docs).select("id", F.explode(F.array_distinct("tokens")).alias("term"))
+    hits = held.join(F.broadcast(asked), "term").groupBy("item_id", "id").agg(F.count(F.lit(1)).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "id"))
+    return relevant, hits.withColumn("rank", rank).where("rank <= 10")
+
+
+_JUDGED = f"""{TOKENS}, rel AS (SELECT item_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+a AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda t: length(t) >= 2)) AS term FROM benchmark),
+h AS (SELECT DISTINCT id, unnest(tokens) AS term FROM tok), s AS (SELECT item_id, id, count(*) AS score FROM a JOIN h USING (term) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10)"""
+
+
+@query(f"WITH {_JUDGED} SELECT item_id, round(count(rank) / count(*), 6) AS recall FROM rel LEFT JOIN k USING (item_id, id) GROUP BY item_id")
+def recall_at_k(spark, d):
+    relevant, found = _judged(spark, d)
+    return relevant.join(found, ["item_id", "id"], "left").groupBy("item_id").agg(F.round(F.count("rank") / F.count(F.lit(1)), 6).alias("recall"))
+
+
+@query(f"""WITH {_JUDGED}, g AS (SELECT item_id, sum(CASE WHEN rank IS NOT NULL THEN 1 / log2(rank + 1) ELSE 0 END) AS gain, least(10, count(*)) AS n FROM rel LEFT JOIN k USING (item_id, id) GROUP BY item_id)
+SELECT item_id, round(gain / list_sum(list_transform(range(1, n + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM g""")
+def ndcg_at_10(spark, d):
+    relevant, found = _judged(spark, d)
+    gain = F.sum(F.when(F.col("rank").isNotNull(), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0))
+    per = relevant.join(found, ["item_id", "id"], "left").groupBy("item_id").agg(gain.alias("gain"), F.least(F.lit(10), F.count(F.lit(1))).cast("int").alias("n"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    return per.select("item_id", F.round(F.col("gain") / ideal, 6).alias("ndcg"))
+
+
+# streams, here over the whole table as a batch
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_events(spark, d):
+    return streams.tumbling(table(spark, d, "events"))
+
 
-QUERIES: dict = {}
-SQL: dict = {}
+@query("""WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '30 minutes', true) AS new FROM events),
+s AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def session_events(spark, d):
+    return streams.sessions(table(spark, d, "events"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return QUERIES["hybrid_search"](spark, sf_dir)
