@@ -7,8 +7,9 @@
    vectors of 64 numbers.
 3. Every vector goes to the list of its nearest centroid, and boundary vectors to further ones: those within a ratio of
    the least distance, unless a centroid chosen before is nearer to that one than the vector is.
-4. As a query, a vector probes all lists within a (larger) ratio of the least distance. Lists are joined with their
-   probes part by part, each part a bounded block of vectors, and the best ``k`` of all parts are kept for each query.
+4. As a query, a vector probes all lists within a (larger) ratio of the least distance, and the nearest ones until they
+   hold enough vectors. Lists are joined with their probes part by part, each part a bounded block of vectors, and the best
+   ``k`` of all parts are kept for each query.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialize, q
 
 K, LIST_SIZE, DEGREE, BEAM = 10, 128, 24, 48
+#: Most lists that hold a vector.
+REPLICAS = 8
 BOUNDARY, PROBE = 1.15, 1.5
 #: Vectors of one list that are compared at once; a longer list is several parts, each of which meets all its probes.
 PART = 4096
@@ -209,30 +212,44 @@ def neighbours(table: DataFrame, k: int = K, list_size: int = LIST_SIZE, boundar
         raise ValueError("vectors must be of one length")
     width = shape[1]
     centres = train_centroids(points, n, list_size)
-    payload = spark.sparkContext.broadcast(_pack(centres))  # n / max(list_size, sqrt(n)) vectors
+    lists = spark.sparkContext.broadcast(_pack(centres))  # n / max(list_size, sqrt(n)) vectors
     key = uuid.uuid4().hex
 
+    def rows_of(row, col, ids, b, at):
+        which = pa.array(row + at)
+        return pa.RecordBatch.from_arrays([pa.array(ids[row, col], pa.int32()), b.column("id").take(which), b.column("v").take(which)], names=["list", "id", "v"])
+
     def place(parts):
-        graph = _graph(key, payload.value)
+        graph = _graph(key, lists.value)
+        for b in parts:
+            x = _stack(b.column("v")) if b.num_rows else np.empty((0, width), np.float32)
+            for at in range(0, len(x), 1024):
+                ids, dist = graph.search(x[at : at + 1024], beam)
+                ids, dist = ids[:, :REPLICAS], dist[:, :REPLICAS]
+                yield rows_of(*np.nonzero(chosen_lists(ids, dist, boundary, graph.points)), ids, b, at)
+
+    held = materialize(points.mapInArrow(place, f"list int, id {kind}, v array<float>"), "ann-lists")
+    sizes = materialize(held.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "ann-sizes")
+    known = sizes.toPandas()  # a row for each centroid, which the driver holds already
+    counts = np.zeros(len(centres), np.int64)
+    counts[known["list"].to_numpy(int)] = known["n"].to_numpy(np.int64)
+    least = max(8 * k, 2 * list_size)
+
+    def ask(parts):
+        graph = _graph(key, lists.value)
         for b in parts:
-            if not b.num_rows:
-                continue
-            x = _stack(b.column("v"))
+            x = _stack(b.column("v")) if b.num_rows else np.empty((0, width), np.float32)
             for at in range(0, len(x), 1024):
                 ids, dist = graph.search(x[at : at + 1024], beam)
-                row, col = np.nonzero(chosen_lists(ids[:, :8], dist[:, :8], boundary, graph.points))
-                prow, pcol = np.nonzero(chosen_lists(ids, dist, probe))
-                which = np.concatenate([row, prow]) + at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([ids[row, col], ids[prow, pcol]]), pa.int32()), pa.array(np.concatenate([np.zeros(len(row), bool), np.ones(len(prow), bool)])), b.column("id").take(pa.array(which)), b.column("v").take(pa.array(which))],
-                    names=["list", "probe", "id", "v"],
-                )
-
-    placed = materialize(points.mapInArrow(place, f"list int, probe boolean, id {kind}, v array<float>"), "ann-lists")
-    sizes = placed.where("not probe").groupBy("list").count().select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    sizes = materialize(sizes, "ann-sizes")
-    held = placed.where("not probe").join(sizes, "list").select("list", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part"), "id", "v").toDF("hl", "hp", "hid", "hv")
-    asked = placed.where("probe").join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
+                # a vector close to its centroid has hardly a ratio to go by: lists count until they hold enough vectors
+                before = np.cumsum(counts[ids], axis=1) - counts[ids]
+                chosen = (chosen_lists(ids, dist, probe) | (before < least)) & np.isfinite(dist) & (counts[ids] > 0)
+                yield rows_of(*np.nonzero(chosen), ids, b, at)
+
+    asked = points.mapInArrow(ask, f"list int, id {kind}, v array<float>")
+    sizes = sizes.select("list", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    held = held.join(sizes, "list").select("list", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part"), "id", "v").toDF("hl", "hp", "hid", "hv")
+    asked = asked.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
     id_type = pa.int64() if kind == "bigint" else None
 
     def best(queries: pa.Table, items: pa.Table) -> pa.Table:
