@@ -1,0 +1,227 @@
+"""Quality classifier, secret scan, nearest neighbours, mixing and packing: held-out accuracy, brute force, odd rows."""
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from tesserae.llm import ann, mixing, packing, quality, secrets
+
+SCHEMA = "doc_id long, text string, lang string, source string, s string, quality string"
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(i, t, "en", f"src{i % 3}", "x", "y") for i, t in enumerate(texts)], SCHEMA)
+
+
+ODD = ["", None, "word", "a b " * 5000, "same", "same"]
+
+
+def texts(n, seed=0):
+    rng = np.random.default_rng(seed)
+    good = lambda: " ".join(rng.choice(["river", "the", "of", "mountain", "and", "walks", "slowly."], 40))
+    bad = lambda: " ".join(rng.choice(["BUY", "$$$", "!!!", "99", "###", "click"], 40))
+    return [good() if i % 3 else bad() for i in range(n)]
+
+
+# classifier
+
+
+def test_forest_matches_a_walk_and_learns():
+    x = np.random.default_rng(0).normal(size=(600, len(quality.FEATURES))).astype(np.float32)
+    y = (x[:, 0] * x[:, 3] > 0).astype(float)
+    forest = quality.fit(x[:400], y[:400])
+    assert ((forest.predict(x[400:]) > 0.5) == y[400:]).mean() > 0.85
+    for row in x[:20]:
+        margin = forest.base
+        for t in range(len(forest.value)):
+            node = 0
+            for _ in range(forest.depth):
+                node = 2 * node + 1 + int(row[forest.feature[t, node]] > forest.threshold[t, node])
+            margin += forest.value[t, node - (forest.value.shape[1] - 1)]
+        assert forest.predict(row[None])[0] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-6)
+
+
+def test_quality_filter(spark):
+    body = texts(150)
+    docs = docs_of(spark, body + ODD)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(100)] + [(None, 1), (3, None), (999, 1)], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.quality_filter(docs, labels).collect()}
+    held_out = range(100, 150)
+    assert np.mean([(i in kept) == (i % 3 > 0) for i in held_out]) > 0.95
+    assert quality.quality_filter(docs, labels).columns == docs.columns
+    assert quality.quality_filter(docs, labels.limit(0)).count() == docs.count()
+    assert quality.quality_filter(docs.limit(0), labels).count() == 0
+    assert quality.statistics(None) == quality.statistics("")
+
+
+def test_quality_on_labelled_documents(spark):
+    d, lab = (pd.read_parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    m = d.merge(lab, on="doc_id").sort_values("doc_id")
+    x, y = quality.matrix(m["text"]), m["quality"].to_numpy(float)
+    half = len(m) // 2
+    forest = quality.fit(x[:half], y[:half])
+    assert ((forest.predict(x[half:]) > 0.5) == y[half:]).mean() > 0.93
+
+
+# secrets
+
+
+@pytest.fixture(scope="module")
+def field():
+    body = pd.read_parquet("/root/testdata/sf0.1/documents.parquet")["text"].tolist()
+    return secrets.fit(secrets.examples(body[:800], 5)), secrets.examples(body[5000:5150], 9)
+
+
+def test_secrets_held_out(field):
+    model, made = field
+    hit = wrong = missed = 0
+    for data, spans in made:
+        got = {(a, b) for _, a, b in secrets.found(model, data, np.array([0, len(data)]))}
+        hit, wrong, missed = hit + len(got & set(spans)), wrong + len(got - set(spans)), missed + len(set(spans) - got)
+    assert hit / (hit + missed) > 0.9 and hit / (hit + wrong) > 0.93
+
+
+def test_pruned_decoding_is_viterbi(field):
+    model, made = field
+    for data, _ in made[:25]:
+        starts, ends = secrets.tokens(data)
+        word, shape = secrets.describe(data, starts, ends)
+        doc = np.zeros(len(starts), np.int32)
+        tags = model.viterbi(model.scores(word, shape, np.full(len(doc), secrets.file_feature(data)), doc), True, True)
+        want = {int(starts[i]) for i, t in enumerate(tags) if t}
+        got = {int(s) for _, a, b in secrets.found(model, data, np.array([0, len(data)])) for s in starts[(starts >= a) & (ends <= b)]}
+        assert got == want
+
+
+def test_viterbi_is_the_best_tagging(field):
+    import itertools
+
+    model, rng = field[0], np.random.default_rng(0)
+    for _ in range(20):
+        scores = rng.normal(size=(5, 3)) * 2
+        value = lambda tags: model.start[tags[0]] + sum(scores[i, t] for i, t in enumerate(tags)) + sum(model.follow[a, b] for a, b in zip(tags, tags[1:]))
+        best = max(itertools.product(range(3), repeat=5), key=value)
+        assert value(tuple(model.viterbi(scores, True, True))) == pytest.approx(value(best))
+
+
+def test_scan_rows(spark, field):
+    key = "AKIA" + "Q2W4E6R8T0Y1U3I5"
+    docs = docs_of(spark, [*ODD, f"é the key is {key} ok", f"é the key is {key} ok"])
+    got = secrets.scan(docs, field[0]).collect()
+    assert [(r.doc_id, r.secret) for r in sorted(got)] == [(6, key), (7, key)]
+    text = docs.where("doc_id = 6").first().text
+    assert text[got[0].start : got[0].end] == key
+    assert secrets.scan(docs.limit(0), field[0]).count() == 0
+    assert secrets.scan(docs, secrets.train(docs.limit(0))).count() == 0
+
+
+# neighbours
+
+
+def recall(vectors, got, k):
+    x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    kth = np.sort(s, 1)[:, -k]
+    return np.mean([sum(s[i, j] >= kth[i] - 1e-6 for j in got.get(i, [])) / k for i in range(len(x))])
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(12, 24))
+    v = np.concatenate([centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 24)) * 0.6, rng.normal(size=(500, 24))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = ann.neighbours(df, k=8, list_size=40).toPandas()
+    assert got.groupby("vec_id").size().eq(8).all()
+    assert recall(v, got.groupby("vec_id")["neighbour"].apply(list).to_dict(), 8) >= 0.9
+
+
+def test_neighbours_odd_rows(spark):
+    one, two = [1.0, 0.0], [0.6, 0.8]
+    data = [(1, one, 0, 0), (2, one, 0, 0), (3, one, 0, 0), (3, one, 0, 0), (3, two, 1, 1), (4, None, 0, 0), (5, [], 0, 0), (6, [0.0, 0.0], 0, 0), (None, one, 0, 0), (7, [1.0, None], 0, 0), (8, [float("nan"), 1.0], 0, 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, list int, probe int")
+    got = {(r.vec_id, r.neighbour, r.rank, round(r.similarity, 3)) for r in ann.neighbours(df, k=2).collect()}
+    assert got == {(1, 2, 1, 1.0), (1, 3, 2, 1.0), (2, 1, 1, 1.0), (2, 3, 2, 1.0), (3, 1, 1, 1.0), (3, 2, 2, 1.0)}
+    assert ann.neighbours(df.limit(0)).count() == 0 and ann.neighbours(df.limit(1)).count() == 0
+
+
+def test_thousands_of_equal_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5000)], "vec_id long, embedding array<float>")
+    got = ann.neighbours(df, k=3).toPandas()
+    assert len(got) == 15_000 and (got.vec_id != got.neighbour).all() and np.allclose(got.similarity, 1)
+
+
+# mixing
+
+
+def test_rake_meets_marginals():
+    rng = np.random.default_rng(0)
+    cube = rng.uniform(1, 9, (4, 3, 5))
+    targets = [t / t.sum() for t in (rng.uniform(0.2, 1, n) for n in cube.shape)]
+    w = cube * mixing.rake(cube, targets)
+    for axis, t in enumerate(targets):
+        assert np.allclose(w.sum(axis=tuple(a for a in range(3) if a != axis)) / w.sum(), t, atol=1e-6)
+    p = mixing.probabilities(cube, mixing.rake(cube, targets), 0.3)
+    assert (p * cube).sum() == pytest.approx(0.3 * cube.sum(), rel=1e-6) and p.max() <= 1
+
+
+def test_mix_follows_targets(spark):
+    rng = np.random.default_rng(1)
+    data = [(i, " ".join(["wordy"] * int(rng.integers(5, 30))), ["en", "de"][int(rng.random() < 0.2)], f"src{int(rng.random() < 0.7)}", "x", "t") for i in range(4000)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = mixing.mix(df, {"source": {"src0": 0.5, "src1": 0.5}, "lang": {"en": 0.6, "de": 0.4}}, keep_share=0.3).toPandas()
+    n = got.text.str.split().str.len()
+    assert n[got.source == "src0"].sum() / n.sum() == pytest.approx(0.5, abs=0.05)
+    assert n[got.lang == "de"].sum() / n.sum() == pytest.approx(0.4, abs=0.05)
+    assert list(got.columns) == df.columns
+
+
+def test_mix_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, None, None, "x", "y"), (None, "some words here", "en", None, "x", "y"), (2, "", "en", "a", "x", "y"), (3, "some words here", "en", "a", "x", "y"), (3, "some words here", "en", "a", "x", "y")], SCHEMA)
+    got = mixing.mix(df, keep_share=1.0).collect()
+    assert sorted(str(r.doc_id) for r in got if r.text) == ["3", "3", "None"]
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+# packing
+
+
+def check_packed(df, got, capacity):
+    per = got.groupby("bin")["n_tokens"].sum()
+    assert per.max() <= capacity
+    assert not got.duplicated(["bin", "slot"]).any()
+    want = {r.doc_id: len((r.text or "").split()) for r in df.collect()}
+    for i, part in got.groupby("doc_id"):
+        part = part.sort_values("piece")
+        assert part.n_tokens.sum() == want[i] and (part.start.to_numpy() == np.concatenate([[0], part.n_tokens.cumsum()[:-1]])).all()
+    assert set(got.doc_id) == set(want)
+
+
+def test_packing_round_trip_and_density(spark):
+    rng = np.random.default_rng(2)
+    df = docs_of(spark, [" ".join(["w"] * int(n)) for n in np.minimum(rng.lognormal(3.5, 1, 3000), 600).astype(int)])
+    got = packing.pack(df, capacity=256, classes=64).toPandas()
+    check_packed(df, got, 256)
+    rounded = np.maximum(1, np.ceil(got.n_tokens / 4)).sum()
+    assert got["bin"].nunique() <= 1.05 * rounded / 64 + 3
+
+
+def test_packing_odd_rows(spark):
+    df = docs_of(spark, ODD)
+    got = packing.pack(df).toPandas()
+    check_packed(df, got, packing.CAPACITY)
+    assert packing.pack(df.limit(0)).count() == 0
+    twice = df.unionByName(df)
+    assert len(packing.pack(twice).toPandas()) == 2 * len(got)
+
+
+def test_knapsack_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        n = int(rng.integers(2, 9))
+        w = rng.random(n)
+        best = np.zeros(n + 1)
+        for room in range(1, n + 1):
+            best[room] = max([best[room - 1]] + [best[room - s] + w[s - 1] for s in range(1, room + 1)])
+        value, counts = packing.price(w, n)
+        assert value == pytest.approx(best[n]) and (counts * np.arange(1, n + 1)).sum() <= n and (counts * w).sum() == pytest.approx(value)
