@@ -5,8 +5,9 @@ so a bit is the parity of its n-grams and the Hamming distance of two sketches i
 sets. Two sets with Jaccard >= t whose smaller one has at most s members differ in at most D = (1 - t) / t * s n-grams,
 hence in at most D blocks: with m = D + 1 + x blocks they agree on x + 1 or more (pigeonhole). So each document may leave
 out the x blocks that come first in a fixed order of block values - lightest first, since nearly empty blocks agree by
-chance - and still shares one of its D + 1 remaining blocks with every partner. Equal blocks are joined within size bands
-(powers of 1 / t; a band meets itself and the next), and every candidate is verified on the sets.
+chance. What two documents leave out of their common blocks is the same end of one order, so if each leaves out x - y
+blocks, they still share y + 1. Equal blocks are joined within size bands (powers of 1 / t; a band meets itself and the
+next), pairs that share fewer than y + 1 blocks go, and every other pair is verified on the sets.
 
 Documents with the same set are one node of the join, so copies cost nothing.
 """
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import WORD, WordHashes, keep_winners, materialize, maybe_broadcast, mix64, ngram_hashes, q, row_hash
 
 THRESHOLD, NGRAM = 0.85, 1
-SLACK = 0.4
+#: x and y as shares of D + 1.
+SLACK, SPARE = 0.4, 0.1
 
 
 def ngram_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
@@ -52,11 +54,18 @@ class Bands:
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.edges, size, side="right")) - 1
 
-    def shape(self, probe: int) -> tuple[int, int]:
-        """(D, m): the most differing blocks when the smaller set is of band ``probe``, and the blocks of a sketch."""
+    def shape(self, probe: int) -> tuple[int, int, int]:
+        """(D, m, y + 1): the most differing blocks when the smaller set is of band ``probe``, the blocks of a sketch, and
+        how many of those kept are shared at least."""
         largest = int(np.ceil(self.edges[probe + 1])) - 1
         d = int(self.per_member * largest + 1e-6)
-        return d, d + 1 + int(np.ceil(SLACK * (d + 1)))
+        return d, d + 1 + int(np.ceil(SLACK * (d + 1))), 1 + int(np.ceil(SPARE * (d + 1)))
+
+    def needs(self, sizes: np.ndarray) -> np.ndarray:
+        """y + 1 by the size of the smaller set."""
+        bands = np.searchsorted(self.edges, sizes, side="right") - 1
+        found, at = np.unique(bands, return_inverse=True)
+        return np.array([self.shape(int(b))[2] for b in found], np.int32)[at]
 
 
 def sketch(members: np.ndarray, blocks: int) -> np.ndarray:
@@ -67,19 +76,19 @@ def sketch(members: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def block_keys(members: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, bool]]:
-    """The join keys of a set: for the probe of its own band and that of the band below, D + 1 hashes of (probe, block, value)."""
+    """The join keys of a set: for the probe of its own band and that of the band below, D + 1 + y hashes of (probe, block, value)."""
     band, out = bands.of(len(members)), []
     for probe in (band, band - 1):
         if probe < 0:
             continue
-        d, m = bands.shape(probe)
+        d, m, shared = bands.shape(probe)
         if d < 1:
             continue  # only equal sets can be that close, and those are one node
         bits = sketch(members, m)
         values = np.packbits(bits, axis=1).view(np.uint64).ravel()
         keys = mix64(values ^ mix64(np.arange(m, dtype=np.uint64) + np.uint64(probe << 32)))
         order = np.lexsort((keys, bits.sum(axis=1)))
-        out.append((keys[order[m - d - 1 :]], probe == band))
+        out.append((keys[order[m - d - shared :]], probe == band))
     return out
 
 
@@ -119,13 +128,14 @@ def _keys(nodes: DataFrame, threshold: float) -> DataFrame:
     return nodes.select("node", "members").mapInArrow(emit, "key long, node long, size int")
 
 
-def _run_pairs(node: np.ndarray, size: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: float):
-    """Pairs within each run [start, end), smaller node first, that the sizes allow and of which one is of the probe's band."""
+def _run_pairs(node: np.ndarray, size: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: float, bands: Bands):
+    """Pairs within each run [start, end), smaller node first, that the sizes allow and of which one is of the probe's band,
+    with the number of blocks that they must share."""
     def allowed(i, j):
         a, b = np.abs(size[i]), np.abs(size[j])
         ok = ((size[i] > 0) | (size[j] > 0)) & (node[i] != node[j]) & (np.minimum(a, b) >= (threshold - 1e-9) * np.maximum(a, b))
         i, j = i[ok], j[ok]
-        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), bands.needs(np.minimum(a[ok], b[ok]))
 
     two = ends - starts == 2
     if two.any():
@@ -140,11 +150,12 @@ def _run_pairs(node: np.ndarray, size: np.ndarray, starts: np.ndarray, ends: np.
 
 
 def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs of nodes that share a key. Runs of equal keys are read in order, so a run of any length streams."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Pairs of nodes that share enough keys. Runs of equal keys are read in order, so a run of any length streams."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int32())])
 
     def pair(parts):
         held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        bands = Bands(threshold)
 
         def pairs_of(columns):
             key, node, size = columns
@@ -152,9 +163,9 @@ def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
             many = ends - starts > 1
             found, n = [], 0
-            for a, b in _run_pairs(node, size, starts[many], ends[many], threshold):
-                found.append((a, b))
-                n += len(a)
+            for pairs in _run_pairs(node, size, starts[many], ends[many], threshold, bands):
+                found.append(pairs)
+                n += len(pairs[0])
                 if n > 200_000:
                     yield found
                     found, n = [], 0
@@ -163,8 +174,7 @@ def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
 
         def out(columns):
             for found in pairs_of(columns):
-                ab = np.unique(np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], schema=schema)
 
         for b in parts:
             columns = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
@@ -177,7 +187,7 @@ def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
         if len(held[0]):
             yield from out(held)
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long").distinct()
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long, need int").groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
