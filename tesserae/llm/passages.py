@@ -81,7 +81,7 @@ def anchors(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
     """(d, id, text, runs): the documents with a recurring anchor, and the runs (h, first, count) of such anchors. Written out."""
-    found = anchors(docs, text_col, length, gram).repartition("h")  # one exchange for both uses
+    found = materialize(anchors(docs, text_col, length, gram), "passage-places")  # read twice, made once
     place = F.struct("d", "first")
     # equal rows have equal places, so a copy of the row doesn't make an anchor recur
     twice = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")

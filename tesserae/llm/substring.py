@@ -2,7 +2,8 @@
 
 1. Recurring passages are confirmed: windows of ``length`` words that occur twice (``passages``).
 2. Every document's confirmed run is tiled by windows; the distinct tiles are the phrases. They are split over shards of
-   bounded size, tiles of one run together, and each shard is compiled to an Aho-Corasick automaton.
+   bounded size, tiles of one family of copies together where that fits (copies mostly agree on the least of their
+   recurring anchors), and each shard is compiled to an Aho-Corasick automaton.
 3. Every document streams through the automata of all shards that hold a phrase with an anchor of the document. A phrase
    can't occur in a document without its anchor, so no other shard can match, and every occurrence is found. The phrases
    of a shard come first in the sort order of its partition, so documents stream through with one automaton in memory.
@@ -29,6 +30,11 @@ def confirm(distinct: DataFrame, length: int) -> DataFrame:
     schema = pa.schema([("c", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
     def decide(group: list[tuple[int, bytes, bool]]):
+        if len(group) == 1:  # windows of one segment have their anchor at different offsets, so they differ
+            c, words, many = group[0]
+            if many:
+                yield c, [{"a": 0, "b": len(words) // 4 - length + 1}]
+            return
         keys, owner, start = [], [], []
         for i, (_, words, many) in enumerate(group):
             w = ngram_hashes(np.frombuffer(words, np.uint32).astype(np.uint64), length)
@@ -46,7 +52,6 @@ def confirm(distinct: DataFrame, length: int) -> DataFrame:
         out: dict[str, list] = {"c": [], "ranges": []}
 
         def flush():
-            # a lone segment that stands at one place can only repeat inside itself
             for c, ranges in decide(group) if group else ():
                 out["c"].append(c)
                 out["ranges"].append(ranges)
@@ -67,14 +72,15 @@ def confirm(distinct: DataFrame, length: int) -> DataFrame:
 
 
 def tiles(chosen: DataFrame, windows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(w, h, run, phrase): the windows that tile every confirmed run, once each; h is the anchor, run tells where it came from."""
-    schema = pa.schema([("w", pa.int64()), ("h", pa.int64()), ("run", pa.int64()), ("phrase", pa.string())])
+    """(w, h, family, phrase): the windows that tile every confirmed run, once each; h is the anchor, family the least
+    recurring anchor of a document that has it."""
+    schema = pa.schema([("w", pa.int64()), ("h", pa.int64()), ("family", pa.int64()), ("phrase", pa.string())])
 
     def build(parts):
         hashes = passages.ByteHashes()
         for b in parts:
             out = {f.name: [] for f in schema}
-            for text, ranges in zip(b.column("text"), b.column("windows").to_pylist()):
+            for text, family, ranges in zip(b.column("text"), b.column("family").to_pylist(), b.column("windows").to_pylist()):
                 raw = text.as_py().encode("utf-8", "surrogatepass").split()
                 words = hashes.of(raw)
                 w = ngram_hashes(words, length).view(np.int64)
@@ -83,13 +89,25 @@ def tiles(chosen: DataFrame, windows: DataFrame, length: int, gram: int) -> Data
                     for p in [*range(r["a"], r["b"] - 1, length), r["b"] - 1]:
                         out["w"].append(int(w[p]))
                         out["h"].append(int(grams[place[p]]))
-                        out["run"].append(int(w[r["a"]]))
+                        out["family"].append(family)
                         out["phrase"].append(b" ".join(raw[p : p + length]).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    joined = chosen.select("d", "text").join(windows, "d").select("text", "windows")
-    found = joined.mapInArrow(build, "w long, h long, run long, phrase string")
-    return materialize(found.groupBy("w").agg(F.first("h").alias("h"), F.min("run").alias("run"), F.first("phrase").alias("phrase")), "phrase-tiles")
+    family = F.array_min(F.transform("runs", lambda r: r["h"])).alias("family")
+    joined = chosen.select("d", "text", family).join(windows, "d").select("text", "family", "windows")
+    found = joined.mapInArrow(build, "w long, h long, family long, phrase string")
+    return materialize(found.groupBy("w").agg(F.first("h").alias("h"), F.min("family").alias("family"), F.first("phrase").alias("phrase")), "phrase-tiles")
+
+
+def sharded(phrases: DataFrame, shard_bytes: int) -> DataFrame:
+    """``phrases`` with a shard. A family of more than ``shard_bytes`` is split over several."""
+    families = materialize(phrases.groupBy("family").agg(F.sum(F.octet_length("phrase")).alias("bytes")), "phrase-families")
+    rows, total = families.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    shards = max(1, -(-(total or 0) // shard_bytes))
+    parts = families.select("family", F.ceil(F.col("bytes") / shard_bytes).alias("parts"))
+    part = F.pmod(F.xxhash64("w"), F.col("parts"))
+    joined = phrases.join(maybe_broadcast(parts, rows, 32), "family")
+    return joined.withColumn("shard", F.pmod(F.xxhash64("family", part), F.lit(shards)).cast("int")).select("h", "phrase", "shard")
 
 
 def automaton(phrases: list[str]) -> ahocorasick.Automaton:
@@ -160,10 +178,7 @@ def repeated_spans(docs: DataFrame, length: int = passages.LENGTH, gram: int = p
     chosen = passages.candidates(docs, id_col, text_col, length, gram)
     found = passages.segments(chosen, length)
     confirmed = materialize(passages.located(found, confirm(passages.contents(found), length)), "phrase-windows")
-    phrases = tiles(chosen, confirmed, length, gram)
-    total = phrases.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    phrases = phrases.withColumn("shard", F.pmod(F.xxhash64("run"), F.lit(shards)).cast("int"))
+    phrases = sharded(tiles(chosen, confirmed, length, gram), shard_bytes)
     anchors = found.select("h", "d").distinct()
     routes = materialize(anchors.join(phrases.select("h", "shard").distinct(), "h").select("d", "shard").distinct(), "phrase-routes")
     hits = stream(chosen, phrases.select("shard", "phrase"), routes, length)
