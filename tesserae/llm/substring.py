@@ -1,7 +1,8 @@
 """Substring dedup by repeated-phrase automata.
 
 1. Recurring passages are confirmed: windows of ``length`` words that occur twice (``passages``).
-2. Every document's confirmed run is tiled by windows; the distinct tiles are the phrases. They are split over shards of
+2. Every document's confirmed run is tiled by windows: those at which the anchor changes, which near copies share, and the
+   two at the ends; no gap is as long as a window. The distinct tiles are the phrases. They are split over shards of
    bounded size, tiles of one family of copies together where that fits (copies mostly agree on the least of their
    recurring anchors), and each shard is compiled to an Aho-Corasick automaton.
 3. Every document streams through the automata of all shards that hold a phrase with an anchor of the document. A phrase
@@ -85,8 +86,11 @@ def tiles(chosen: DataFrame, windows: DataFrame, length: int, gram: int) -> Data
                 words = hashes.of(raw)
                 w = ngram_hashes(words, length).view(np.int64)
                 grams, place = passages.anchor_places(words, length, gram)
+                turns = np.flatnonzero(place[1:] != place[:-1]) + 1
                 for r in ranges:
-                    for p in [*range(r["a"], r["b"] - 1, length), r["b"] - 1]:
+                    start, last = r["a"], r["b"] - 1
+                    inner = turns[np.searchsorted(turns, start, side="right") : np.searchsorted(turns, last)]
+                    for p in dict.fromkeys([start, *inner.tolist(), last]):
                         out["w"].append(int(w[p]))
                         out["h"].append(int(grams[place[p]]))
                         out["family"].append(family)
