@@ -346,16 +346,17 @@ def confirm(distinct: DataFrame, length: int, shards: int, memory: int) -> DataF
             folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
         elif not os.path.isdir(folder):
             os.makedirs(folder, exist_ok=True)
-        many = table.column("many").to_pylist()
-        parts = [np.frombuffer(w.as_buffer(), np.uint32) for chunk in table.column("words").chunks for w in chunk]
-        found = repeated_windows(parts, length, folder, memory)
+        _, group, size = np.unique(table.column("h").to_numpy(), return_inverse=True, return_counts=True)
+        alone = size[group] == 1  # windows of one segment differ, as their anchor is at different offsets: nothing to sort
+        words = [np.frombuffer(w.as_buffer(), np.uint32) for chunk in table.column("words").chunks for w in chunk]
+        found = dict(zip(np.flatnonzero(~alone).tolist(), repeated_windows([w for w, one in zip(words, alone) if not one], length, folder, memory)))
         ids, ranges = [], []
-        for c, twice, part, starts in zip(table.column("c").to_pylist(), many, parts, found):
-            if twice:  # one row for equal segments: all their windows repeat
-                starts = np.arange(len(part) - length + 1)
+        for i, (c, twice) in enumerate(zip(table.column("c").to_pylist(), table.column("many").to_pylist())):
+            # one row stands for equal segments: if there are several, all their windows repeat
+            starts = np.arange(len(words[i]) - length + 1) if twice else found.get(i, ())
             if len(starts):
                 ids.append(c)
-                ranges.append(passages.as_ranges(starts))
+                ranges.append(passages.as_ranges(np.asarray(starts)))
         return pa.Table.from_pydict({"c": ids, "ranges": ranges}, schema=schema)
 
     sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
