@@ -259,6 +259,7 @@ def neighbours(table: DataFrame, k: int = K, list_size: int = LIST_SIZE, boundar
             y = _stack(items.column("hv").combine_chunks())
             code = {v: i for i, v in enumerate(dict.fromkeys(ids.to_pylist()))}
             y_code = np.array([code[v] for v in ids.to_pylist()])
+            most = int(np.bincount(y_code).max())  # rows of one id: so many times k rows hold the best k ids
             q_ids = queries.column("id").combine_chunks()
             x = _stack(queries.column("v").combine_chunks())
             q_code = np.array([code.get(v, -1) for v in q_ids.to_pylist()])
@@ -267,7 +268,7 @@ def neighbours(table: DataFrame, k: int = K, list_size: int = LIST_SIZE, boundar
                 s = x[at : at + 1024] @ y.T
                 s[q_code[at : at + 1024, None] == y_code[None, :]] = -np.inf
                 # ties at the cut go to the smaller id, here as in the end
-                order = np.lexsort((np.broadcast_to(order_of, s.shape), -s.astype(np.float64)), axis=1)[:, : k * 4]
+                order = np.lexsort((np.broadcast_to(order_of, s.shape), -s.astype(np.float64)), axis=1)[:, : k * most]
                 top = np.take_along_axis(s, order, 1)
                 row, col = np.nonzero(np.isfinite(top))
                 out_q.append(row + at)
