@@ -8,8 +8,10 @@
 3. Every vector goes to the list of its nearest centroid, and boundary vectors to further ones: those within a ratio of
    the least distance, unless a centroid chosen before is nearer to that one than the vector is.
 4. As a query, a vector probes all lists within a (larger) ratio of the least distance, and the nearest ones until they
-   hold enough vectors. Lists are joined with their probes part by part, each part a bounded block of vectors, and the best
-   ``k`` of all parts are kept for each query.
+   hold enough vectors. Where the search over the graph ends before the ratio does, all centroids are compared: there are
+   no more of them than vectors in a few lists. Neighbouring short lists are one bundle, which a query meets once and
+   compares whole. Bundles are joined with their probes by bounded blocks of vectors and of queries, and the best ``k`` of
+   all blocks are kept for each query.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, q
+from .common import materialize, maybe_broadcast, q
 
 K, LIST_SIZE, DEGREE, BEAM = 10, 128, 24, 48
 #: Most lists that hold a vector.
 REPLICAS = 8
 BOUNDARY, PROBE = 1.15, 1.5
-#: Vectors of one list that are compared at once; a longer list is several parts, each of which meets all its probes.
+#: Vectors of one bundle of lists that are compared at once; a longer list is several parts, each of which meets all its probes.
 PART = 4096
+#: Queries that meet a part at once; more are several slices.
+SLICE = 1 << 17
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,6 +117,61 @@ def chosen_lists(ids: np.ndarray, dist: np.ndarray, ratio: float, points: np.nda
     return ok
 
 
+def probed(graph: Graph, x: np.ndarray, counts: np.ndarray, ratio: float, least: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list): all lists within ``ratio`` of the least distance, and the nearest until they hold ``least`` vectors."""
+    rows, lists = [], []
+
+    def add(which, ids, dist):
+        # a vector close to its centroid has hardly a ratio to go by: lists count until they hold enough vectors
+        before = np.cumsum(counts[ids], axis=1) - counts[ids]
+        chosen = chosen_lists(ids, dist, ratio) | ((before < least) & np.isfinite(dist))
+        row, col = np.nonzero(chosen & (counts[ids] > 0))
+        rows.append(which[row])
+        lists.append(ids[row, col])
+        return chosen[:, -1]
+
+    ids, dist = graph.search(x, beam)
+    n, everyone = len(graph.points), np.arange(len(x))
+    if ids.shape[1] >= n and np.isfinite(dist).all():
+        add(everyone, ids, dist)
+    else:
+        on = add(everyone, ids, dist)  # the last one found counts, so others beyond the beam may
+        rows[0], lists[0] = rows[0][~on[rows[0]]], lists[0][~on[rows[0]]]
+        block = max(1, (1 << 22) // n)
+        for which in np.split(everyone[on], range(block, int(on.sum()), block)):
+            d = distances(x[which], graph.points)
+            order = np.argsort(d, axis=1, kind="stable")
+            add(which, order, np.take_along_axis(d, order, 1))
+    return np.concatenate(rows), np.concatenate(lists)
+
+
+def bundles(points: np.ndarray, counts: np.ndarray, most: int = PART) -> np.ndarray:
+    """The bundle of every list: neighbouring lists that hold at most ``most`` vectors together, a longer one by itself."""
+    out, n, open_ = np.zeros(len(points), np.int32), 0, [np.arange(len(points))]
+    while open_:
+        own = open_.pop()
+        total = counts[own].sum()
+        if len(own) == 1 or total <= most:
+            out[own], n = n, n + 1
+            continue
+        own = own[np.argsort(points[own, points[own].var(0).argmax()], kind="stable")]
+        half = min(max(1, int(np.searchsorted(np.cumsum(counts[own]), total / 2))), len(own) - 1)
+        open_ += [own[:half], own[half:]]
+    return out
+
+
+def best_columns(s: np.ndarray, order_of: np.ndarray, width: int) -> np.ndarray:
+    """Columns of the ``width`` largest of every row, largest first; ties, those at the cut too, go to the smaller ``order_of``."""
+    if width < s.shape[1]:
+        cut = np.partition(s, s.shape[1] - width, axis=1)[:, s.shape[1] - width]
+        most = int((s >= cut[:, None]).sum(1).max())
+        some = np.argpartition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most :]
+    else:
+        some = np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    order = np.lexsort((order_of[some], -np.take_along_axis(s, some, 1).astype(np.float64)), axis=1)[:, :width]
+    return np.take_along_axis(some, order, 1)
+
+
 _loaded: dict[str, Graph] = {}
 
 
@@ -215,41 +274,64 @@ def neighbours(table: DataFrame, k: int = K, list_size: int = LIST_SIZE, boundar
     lists = spark.sparkContext.broadcast(_pack(centres))  # n / max(list_size, sqrt(n)) vectors
     key = uuid.uuid4().hex
 
-    def rows_of(row, col, ids, b, at):
-        which = pa.array(row + at)
-        return pa.RecordBatch.from_arrays([pa.array(ids[row, col], pa.int32()), b.column("id").take(which), b.column("v").take(which)], names=["list", "id", "v"])
+    def rows_of(row, value, size, b, at):
+        """The rows of a block with their distinct values, a list each; ``row`` counts from the block's first row."""
+        pairs = np.unique((row.astype(np.int64) << 32) | value)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(pairs >> 32, minlength=size))])
+        values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([values, b.column("id").slice(at, size), b.column("v").slice(at, size)], names=["lists", "id", "v"])
 
-    def place(parts):
-        graph = _graph(key, lists.value)
+    def blocks(parts):
         for b in parts:
             x = _stack(b.column("v")) if b.num_rows else np.empty((0, width), np.float32)
             for at in range(0, len(x), 1024):
-                ids, dist = graph.search(x[at : at + 1024], beam)
-                ids, dist = ids[:, :REPLICAS], dist[:, :REPLICAS]
-                yield rows_of(*np.nonzero(chosen_lists(ids, dist, boundary, graph.points)), ids, b, at)
-
-    held = materialize(points.mapInArrow(place, f"list int, id {kind}, v array<float>"), "ann-lists")
-    sizes = materialize(held.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "ann-sizes")
-    known = sizes.toPandas()  # a row for each centroid, which the driver holds already
-    counts = np.zeros(len(centres), np.int64)
-    counts[known["list"].to_numpy(int)] = known["n"].to_numpy(np.int64)
+                yield b, at, x[at : at + 1024]
+
+    def place(parts):
+        graph = _graph(key, lists.value)
+        for b, at, x in blocks(parts):
+            ids, dist = graph.search(x, beam)
+            ids, dist = ids[:, :REPLICAS], dist[:, :REPLICAS]
+            row, col = np.nonzero(chosen_lists(ids, dist, boundary, graph.points))
+            yield rows_of(row, ids[row, col], len(x), b, at)
+
+    schema = f"lists array<int>, id {kind}, v array<float>"
+    held = materialize(points.mapInArrow(place, schema), "ann-lists")
+
+    def counted(df, size):
+        known = df.select(F.explode("lists").alias("list")).groupBy("list").count().toPandas()
+        counts = np.zeros(size, np.int64)
+        counts[known["list"].to_numpy(int)] = known["count"].to_numpy(np.int64)
+        return counts
+
+    counts = counted(held, len(centres))  # one for each centroid, which the driver holds already
+    bundle_of = bundles(centres, counts)
     least = max(8 * k, 2 * list_size)
 
     def ask(parts):
         graph = _graph(key, lists.value)
+        for b, at, x in blocks(parts):
+            row, found = probed(graph, x, counts, probe, least, beam)
+            yield rows_of(row, bundle_of[found], len(x), b, at)
+
+    def bundled(parts):
         for b in parts:
-            x = _stack(b.column("v")) if b.num_rows else np.empty((0, width), np.float32)
-            for at in range(0, len(x), 1024):
-                ids, dist = graph.search(x[at : at + 1024], beam)
-                # a vector close to its centroid has hardly a ratio to go by: lists count until they hold enough vectors
-                before = np.cumsum(counts[ids], axis=1) - counts[ids]
-                chosen = (chosen_lists(ids, dist, probe) | (before < least)) & np.isfinite(dist) & (counts[ids] > 0)
-                yield rows_of(*np.nonzero(chosen), ids, b, at)
-
-    asked = points.mapInArrow(ask, f"list int, id {kind}, v array<float>")
-    sizes = sizes.select("list", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    held = held.join(sizes, "list").select("list", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part"), "id", "v").toDF("hl", "hp", "hid", "hv")
-    asked = asked.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
+            for at in range(0, b.num_rows, 1024):
+                own = b.slice(at, 1024)
+                row = np.repeat(np.arange(own.num_rows), own.column("lists").value_lengths().to_numpy())
+                yield rows_of(row, bundle_of[own.column("lists").flatten().to_numpy()], own.num_rows, own, 0)
+
+    asked = materialize(points.mapInArrow(ask, schema), "ann-asked")
+    total = np.bincount(bundle_of, weights=counts).astype(np.int64)
+    asks = counted(asked, len(total))
+    shapes = [(i, max(1, -(-int(t) // PART)), max(1, -(-int(a) // SLICE))) for i, (t, a) in enumerate(zip(total, asks))]
+    shapes = maybe_broadcast(spark.createDataFrame(shapes, "list int, parts int, slices int"), len(shapes), 24)
+    hashed = F.xxhash64("id", "v")
+    part, slice_ = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("parts", "slices"))
+    held = held.mapInArrow(bundled, schema).select(F.explode("lists").alias("list"), "id", "v").join(shapes, "list")
+    held = held.select("list", F.pmod(hashed, F.col("parts")).cast("int"), slice_, "id", "v").toDF("hl", "hp", "hs", "hid", "hv")
+    asked = asked.select(F.explode("lists").alias("list"), "id", "v").join(shapes, "list")
+    asked = asked.select("list", part.alias("part"), F.pmod(hashed, F.col("slices")).cast("int").alias("slice"), "id", "v")
     id_type = pa.int64() if kind == "bigint" else None
 
     def best(queries: pa.Table, items: pa.Table) -> pa.Table:
@@ -268,7 +350,7 @@ def neighbours(table: DataFrame, k: int = K, list_size: int = LIST_SIZE, boundar
                 s = x[at : at + 1024] @ y.T
                 s[q_code[at : at + 1024, None] == y_code[None, :]] = -np.inf
                 # ties at the cut go to the smaller id, here as in the end
-                order = np.lexsort((np.broadcast_to(order_of, s.shape), -s.astype(np.float64)), axis=1)[:, : k * most]
+                order = best_columns(s, order_of, k * most)
                 top = np.take_along_axis(s, order, 1)
                 row, col = np.nonzero(np.isfinite(top))
                 out_q.append(row + at)
@@ -279,7 +361,7 @@ def neighbours(table: DataFrame, k: int = K, list_size: int = LIST_SIZE, boundar
             return pa.Table.from_arrays([empty, empty, pa.array([], pa.float64())], names=["a", "b", "s"])
         return pa.Table.from_arrays([q_ids.take(pa.array(np.concatenate(out_q))), ids.take(pa.array(np.concatenate(out_n))), pa.array(np.concatenate(out_s).astype(np.float64))], names=["a", "b", "s"])
 
-    pairs = asked.groupBy("list", "part").cogroup(held.groupBy("hl", "hp")).applyInArrow(best, f"a {kind}, b {kind}, s double")
+    pairs = asked.groupBy("list", "part", "slice").cogroup(held.groupBy("hl", "hp", "hs")).applyInArrow(best, f"a {kind}, b {kind}, s double")
     # an id may be met in several lists and by several rows: its best similarity counts
     met = pairs.groupBy("a", "b").agg(F.max("s").alias("s"))
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), F.col("b")))), 1, k)

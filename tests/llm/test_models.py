@@ -136,6 +136,27 @@ def test_neighbours_recall(spark):
     assert recall(v, got.groupby("vec_id")["neighbour"].apply(list).to_dict(), 8) >= 0.9
 
 
+def test_neighbours_recall_beyond_the_beam(spark):
+    v = np.random.default_rng(4).normal(size=(20_000, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}), "vec_id long, embedding array<float>")
+    got = ann.neighbours(df).toPandas()
+    assert got.groupby("vec_id").size().eq(10).all() and got.vec_id.nunique() == len(v)
+    found = got.groupby("vec_id")["neighbour"].apply(set)
+    s = v[:1000] @ v.T
+    s[np.arange(1000), np.arange(1000)] = -9
+    true = np.argsort(-s, 1)[:, :10]
+    assert np.mean([len(found[i] & set(true[i].tolist())) / 10 for i in range(1000)]) >= 0.9
+
+
+def test_best_columns_keeps_ties_by_order():
+    rng = np.random.default_rng(6)
+    for width in (1, 3, 8, 20):
+        s, order_of = rng.integers(0, 4, (30, 20)).astype(np.float32), rng.permutation(20)
+        want = np.lexsort((np.broadcast_to(order_of, s.shape), -s.astype(float)), axis=1)[:, :width]
+        assert (ann.best_columns(s, order_of, width) == want).all()
+
+
 def test_neighbours_odd_rows(spark):
     one, two = [1.0, 0.0], [0.6, 0.8]
     data = [(1, one, 0, 0), (2, one, 0, 0), (3, one, 0, 0), (3, one, 0, 0), (3, two, 1, 1), (4, None, 0, 0), (5, [], 0, 0), (6, [0.0, 0.0], 0, 0), (None, one, 0, 0), (7, [1.0, None], 0, 0), (8, [float("nan"), 1.0], 0, 0)]
