@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scoring import best_columns
 from .common import materialize, maybe_broadcast, q
 
 K, LIST_SIZE, DEGREE, BEAM = 10, 128, 24, 48
@@ -160,18 +161,6 @@ def bundles(points: np.ndarray, counts: np.ndarray, most: int = PART) -> np.ndar
     return out
 
 
-def best_columns(s: np.ndarray, order_of: np.ndarray, width: int) -> np.ndarray:
-    """Columns of the ``width`` largest of every row, largest first; ties, those at the cut too, go to the smaller ``order_of``."""
-    if width < s.shape[1]:
-        cut = np.partition(s, s.shape[1] - width, axis=1)[:, s.shape[1] - width]
-        most = int((s >= cut[:, None]).sum(1).max())
-        some = np.argpartition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most :]
-    else:
-        some = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-    order = np.lexsort((order_of[some], -np.take_along_axis(s, some, 1).astype(np.float64)), axis=1)[:, :width]
-    return np.take_along_axis(some, order, 1)
-
-
 _loaded: dict[str, Graph] = {}
 
 

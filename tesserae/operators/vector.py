@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 
+#: Vectors and queries of one key that are compared at once.
+PART, SLICE = 4096, 1 << 16
+
 
 def brute_vector(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", mask: DataFrame | None = None) -> DataFrame:
     """(id, score): the k unit vectors of most cosine, clamped at 0, ties by id. The mask is applied before the cut."""
@@ -44,24 +48,76 @@ def best_chunk(hits: DataFrame) -> DataFrame:
     return hits.groupBy("block").agg(best).select("block", F.greatest(F.lit(0.0), F.col("m.score")).alias("score"), (-F.col("m.c")).alias("chunk"))
 
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 6, tables: int = 16, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64) -> DataFrame:
-    """The approximate probe: vectors that share the sign pattern of random planes with a query, re-ranked exactly."""
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
-
-    @F.pandas_udf("array<int>")
-    def buckets(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_list()) if len(v) else np.empty((0, dims))
-        signs = np.einsum("nd,tbd->ntb", x, planes) > 0
-        return pd.Series(list((signs @ (1 << np.arange(bits)) + (np.arange(tables) << bits)).astype(np.int32)))
-
-    keyed = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.explode(buckets(F.col(vec_col))).alias("key"))
-    asked = queries.select(F.col(id_col).alias("q"), F.col(vec_col).alias("qv"), F.explode(buckets(F.col(vec_col))).alias("key"))
-    met = keyed.join(asked, "key").where("q <> id").dropDuplicates(["q", "id"])
-    scored = met.select("q", "id", F.round(scoring.dot(F.col("v"), F.col("qv")), 6).alias("score"))
+def _best_of_keys(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(q, id, score): the k ids of most cosine for every row of asked (key, q, qv) among each block of the held (key, id, v).
+
+    Each key's rows meet as blocks of bounded size, hashed by id. There are few keys, so their counts are broadcast.
+    """
+    sizes = held.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    sizes = F.broadcast(sizes.join(asked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices")), "key"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = lambda i, c: F.pmod(F.xxhash64(i), F.col(c)).cast("int")
+    held = held.join(sizes, "key").select("key", one("id", "parts").alias("part"), each("slices").alias("slice"), "id", "v")
+    asked = asked.join(sizes, "key").select("key", each("parts").alias("part"), one("q", "slices").alias("slice"), "q", "qv")
+    kinds = dict(asked.dtypes)["q"], dict(held.dtypes)["id"]
+    stack = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1).astype(np.float64)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, cols, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if left.num_rows and right.num_rows:
+            x, y = stack(left.column("qv")), stack(right.column("v"))
+            q, ids = left.column("q").to_numpy(), right.column("id").to_numpy()
+            most = np.unique(ids, return_counts=True)[1].max()  # rows of one id
+            place = np.argsort(np.argsort(ids, kind="stable"))
+            for at in range(0, len(x), 1024):
+                s = np.round(x[at : at + 1024] @ y.T, 6)
+                s[q[at : at + 1024, None] == ids[None, :]] = -np.inf
+                order = scoring.best_columns(s, place, k * most)
+                top = np.take_along_axis(s, order, 1)
+                row, col = np.nonzero(np.isfinite(top))
+                rows.append(row + at)
+                cols.append(order[row, col])
+                scores.append(top[row, col])
+        picked = left.column("q").take(pa.array(np.concatenate(rows))), right.column("id").take(pa.array(np.concatenate(cols)))
+        return pa.Table.from_arrays([*picked, pa.array(np.concatenate(scores))], names=["q", "id", "score"])
+
+    keys = ["key", "part", "slice"]
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(best, f"q {kinds[0]}, id {kinds[1]}, score double")
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 6, tables: int = 16, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64, probes: int = 4) -> DataFrame:
+    """The approximate probe: vectors whose sign pattern over random planes a query asks for, re-ranked exactly.
+
+    In each table a query asks for ``probes`` patterns: its own, and those got by crossing the planes that it is nearest to
+    (Lv et al., "Multi-Probe LSH", 2007).
+    """
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
+    flips = np.arange(1 << bits)
+    crossed = (flips[:, None] >> np.arange(bits) & 1).astype(float)
+
+    def buckets(probes: int):
+        @F.pandas_udf("array<int>")
+        def keys(v: pd.Series) -> pd.Series:
+            x = np.stack(v.to_list()) if len(v) else np.empty((0, dims))
+            margins = np.einsum("nd,tbd->ntb", x, planes)
+            own = (margins > 0) @ (1 << np.arange(bits))
+            cost = np.abs(margins) @ crossed.T  # of crossing each set of planes; none for the own pattern
+            near = flips[np.argsort(cost, axis=2, kind="stable")[:, :, :probes]]
+            out = (own[:, :, None] ^ near) + (np.arange(tables) << bits)[:, None]
+            return pd.Series(list(out.reshape(len(x), tables * near.shape[2]).astype(np.int32)))
+
+        return keys(F.col(vec_col))
+
+    held = vectors.where(F.col(vec_col).isNotNull()).select(F.explode(buckets(1)).alias("key"), F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    asked = queries.where(F.col(vec_col).isNotNull()).select(F.explode(buckets(probes)).alias("key"), F.col(id_col).alias("q"), F.col(vec_col).alias("qv"))
+    return _ranked(_best_of_keys(held, asked, k).groupBy("q", "id").agg(F.max("score").alias("score")), k)
+
+
 def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(recall): the mean share of each query's exact k that were found."""
     hits = exact.join(found.select("q", "id", F.lit(1).alias("hit")), ["q", "id"], "left")

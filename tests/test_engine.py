@@ -189,3 +189,19 @@ def test_empty_tables(spark):
     assert lexical.term_scan(a, "wave").count() == 0 and lexical.seq_scan(docs, "wave").count() == 0
     assert lexical.out_of_vocabulary(a, "wave").first().ratio == 0
     assert stats.histogram(docs, "doc_id").count() == 0
+
+
+def nearest(x, k):
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    return np.argsort(-s, 1, kind="stable")[:, :k]
+
+
+def test_lsh_recall_over_all_rows(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = e.toPandas().sort_values("vec_id")
+    ids, true = rows.vec_id.to_numpy(), nearest(np.stack(rows.embedding).astype(float), 10)
+    got = vector.lsh_search(e, e, 10).toPandas()
+    assert not got.duplicated(["q", "id"]).any() and not got.duplicated(["q", "rank"]).any()
+    found = got.groupby("q")["id"].apply(set)
+    assert np.mean([len(found.get(ids[i], set()) & set(ids[true[i]].tolist())) / 10 for i in range(len(ids))]) >= 0.9
