@@ -238,18 +238,13 @@ def cosine_probes(spark, d):
 @query()
 def lsh_ann(spark, d):
     e = table(spark, d, "embeddings")
-    return vector.lsh_search(e, e.where("vec_id < 32"), 10)
+    return vector.lsh_search(e, e, 10)
 
 
 @query()
 def recall_curve(spark, d):
     e = table(spark, d, "embeddings")
-    exact = vector.cosine_join(e, e.where("vec_id < 32"), 10)
-    out = None
-    for n in (8, 16, 32):
-        row = vector.recall(exact, vector.lsh_search(e, e.where("vec_id < 32"), 10, tables=n), 10).select(F.lit(n).alias("effort"), "recall")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return vector.recall_by_tables(vector.cosine_join(e, e, 10), vector.lsh_pairs(e, e, 10, tables=32), 10, (8, 16, 32))
 
 
 @query(f"WITH {TOKENS}, {HASHED} SELECT * FROM hv")

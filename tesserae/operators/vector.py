@@ -24,15 +24,6 @@ def brute_vector(vectors: DataFrame, query: list[float], k: int, id_col: str = "
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def cosine_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(q, id, score, rank): the k nearest of every query; queries are few and broadcast."""
-    left = queries.select(F.col(id_col).alias("q"), F.col(vec_col).alias("qv"))
-    right = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    scored = right.join(F.broadcast(left), F.col("q") != F.col("id")).select("q", "id", F.round(scoring.dot(F.col("v"), F.col("qv")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def hashed_terms(docs: DataFrame, dims: int = scoring.DIMS) -> DataFrame:
     """(id, bucket, value): sparse unit vectors of the signed token counts of (id, tokens)."""
     raw = docs.select("id", F.explode("tokens").alias("t")).groupBy("id", "t").count()
@@ -49,7 +40,7 @@ def best_chunk(hits: DataFrame) -> DataFrame:
 
 
 def _best_of_keys(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(q, id, score): the k ids of most cosine for every row of asked (key, q, qv) among each block of the held (key, id, v).
+    """(key, q, id, score): the k ids of most cosine for every row of asked (key, q, qv) among each block of the held (key, id, v).
 
     Each key's rows meet as blocks of bounded size, hashed by id. There are few keys, so their counts are broadcast.
     """
@@ -69,9 +60,9 @@ def _best_of_keys(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             q, ids = left.column("q").to_numpy(), right.column("id").to_numpy()
             most = np.unique(ids, return_counts=True)[1].max()  # rows of one id
             place = np.argsort(np.argsort(ids, kind="stable"))
-            for at in range(0, len(x), 1024):
-                s = np.round(x[at : at + 1024] @ y.T, 6)
-                s[q[at : at + 1024, None] == ids[None, :]] = -np.inf
+            for at in range(0, len(x), 256):
+                s = np.round(x[at : at + 256] @ y.T, 6)
+                s[q[at : at + 256, None] == ids[None, :]] = -np.inf
                 order = scoring.best_columns(s, place, k * most)
                 top = np.take_along_axis(s, order, 1)
                 row, col = np.nonzero(np.isfinite(top))
@@ -79,10 +70,11 @@ def _best_of_keys(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 cols.append(order[row, col])
                 scores.append(top[row, col])
         picked = left.column("q").take(pa.array(np.concatenate(rows))), right.column("id").take(pa.array(np.concatenate(cols)))
-        return pa.Table.from_arrays([*picked, pa.array(np.concatenate(scores))], names=["q", "id", "score"])
+        key = pa.array(np.full(len(picked[0]), left.column("key")[0].as_py() if left.num_rows else 0, np.int32))
+        return pa.Table.from_arrays([key, *picked, pa.array(np.concatenate(scores))], names=["key", "q", "id", "score"])
 
     keys = ["key", "part", "slice"]
-    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(best, f"q {kinds[0]}, id {kinds[1]}, score double")
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(best, f"key int, q {kinds[0]}, id {kinds[1]}, score double")
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -90,8 +82,16 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 6, tables: int = 16, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64, probes: int = 4) -> DataFrame:
-    """The approximate probe: vectors whose sign pattern over random planes a query asks for, re-ranked exactly.
+def cosine_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(q, id, score, rank): the k nearest of every query, exactly; any number of queries, null vectors left out."""
+    asked = queries.where(F.col(vec_col).isNotNull()).select(F.lit(0).alias("key"), F.col(id_col).alias("q"), F.col(vec_col).alias("qv"))
+    held = vectors.where(F.col(vec_col).isNotNull()).select(F.lit(0).alias("key"), F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    return _ranked(_best_of_keys(held, asked, k).drop("key"), k)
+
+
+def lsh_pairs(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 6, tables: int = 16, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64, probes: int = 4) -> DataFrame:
+    """(q, id, score, table): vectors whose sign pattern over random planes a query asks for, the k best of each pattern,
+    with the first table that has them. The tables of a smaller number are the first ones of a larger.
 
     In each table a query asks for ``probes`` patterns: its own, and those got by crossing the planes that it is nearest to
     (Lv et al., "Multi-Probe LSH", 2007).
@@ -115,7 +115,13 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 6, ta
 
     held = vectors.where(F.col(vec_col).isNotNull()).select(F.explode(buckets(1)).alias("key"), F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     asked = queries.where(F.col(vec_col).isNotNull()).select(F.explode(buckets(probes)).alias("key"), F.col(id_col).alias("q"), F.col(vec_col).alias("qv"))
-    return _ranked(_best_of_keys(held, asked, k).groupBy("q", "id").agg(F.max("score").alias("score")), k)
+    table = F.shiftright(F.min("key"), bits).alias("table")
+    return _best_of_keys(held, asked, k).groupBy("q", "id").agg(F.max("score").alias("score"), table)
+
+
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 6, tables: int = 16, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64, probes: int = 4) -> DataFrame:
+    """(q, id, score, rank): the approximate probe, the pairs of ``lsh_pairs`` re-ranked exactly."""
+    return _ranked(lsh_pairs(vectors, queries, k, bits, tables, seed, id_col, vec_col, dims, probes).drop("table"), k)
 
 
 def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -124,6 +130,17 @@ def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return hits.groupBy("q").agg((F.count("hit") / F.lit(k)).alias("r")).agg(F.round(F.avg("r"), 6).alias("recall"))
 
 
+def recall_by_tables(exact: DataFrame, met: DataFrame, k: int, efforts: tuple[int, ...]) -> DataFrame:
+    """(effort, recall): the recall of ``lsh_search`` with so many tables, of its pairs with the most of them.
+
+    One of the exact k that is met is among the best k of those met, so it needs no ranking.
+    """
+    hits = exact.select("q", "id").join(met.select("q", "id", "table"), ["q", "id"], "left")
+    each = hits.groupBy("q").agg(*[(F.count(F.when(F.col("table") < n, 1)) / F.lit(k)).alias(f"r{n}") for n in efforts])
+    curve = each.select(F.explode(F.array(*[F.struct(F.lit(n).alias("effort"), F.col(f"r{n}").alias("r")) for n in efforts])).alias("x"))
+    return curve.groupBy(F.col("x.effort").alias("effort")).agg(F.round(F.avg("x.r"), 6).alias("recall"))
+
+
 def project_2d(points: np.ndarray) -> np.ndarray:
     """The first two principal axes of a few result vectors, signs fixed, scaled to -1..1; for the driver."""
     x = points - points.mean(0)

@@ -205,3 +205,24 @@ def test_lsh_recall_over_all_rows(spark):
     assert not got.duplicated(["q", "id"]).any() and not got.duplicated(["q", "rank"]).any()
     found = got.groupby("q")["id"].apply(set)
     assert np.mean([len(found.get(ids[i], set()) & set(ids[true[i]].tolist())) / 10 for i in range(len(ids))]) >= 0.9
+
+
+def test_cosine_join_meets_every_row_in_any_blocks(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vector, "PART", 70)
+    monkeypatch.setattr(vector, "SLICE", 90)
+    got = vector.cosine_join(df, df, 5).toPandas().sort_values(["q", "rank"])
+    assert (got["id"].to_numpy().reshape(300, 5) == nearest(x, 5)).all()
+
+
+def test_registered_vector_queries_take_every_row(spark):
+    from tesserae.catalogue import QUERIES
+
+    got = QUERIES["lsh_ann"](spark, "/root/testdata/sf0.1")
+    assert got.select("q").distinct().count() == 2000
+    curve = {r.effort: r.recall for r in QUERIES["recall_curve"](spark, "/root/testdata/sf0.1").collect()}
+    assert curve[8] < curve[16] < curve[32] and curve[16] >= 0.9
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert curve[8] == vector.recall(vector.cosine_join(e, e, 10), vector.lsh_search(e, e, 10, tables=8), 10).first()[0]
