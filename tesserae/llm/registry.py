@@ -22,6 +22,5 @@ SQL = {
     "op4_substring_dedup": substring.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op7_jaccard_join": near_dup.SQL,
-    "op8_secrets": secrets.query,
     "op9_suffix_array": suffix_array.SQL,
 }
