@@ -127,13 +127,19 @@ def query(spark, sf_dir: str) -> DataFrame:
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: The same rule with its own reductions, so that whole tables can be compared: lines meet by numbers and hashed variants,
+#: only those that share a half with another line emit any, and a pair is verified once.
 SQL = f"""
 WITH raw AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS r FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
 l AS (SELECT doc_id, i, r, trim(translate(r, chr(13) || chr(9), '  '), ' ') AS t FROM raw),
-d AS (SELECT t, min((doc_id, i)) AS f FROM l WHERE length(t) >= {LEAST_CHARS} GROUP BY t),
-v AS (SELECT t, f, t AS k FROM d UNION
-      SELECT t, f, left(t, CAST(j AS INT)) || substr(t, CAST(j AS INT) + 2) FROM (SELECT t, f, unnest(range(length(t))) AS j FROM d)),
-e AS (SELECT x.t, min(y.f) AS f FROM v x JOIN v y ON x.k = y.k WHERE levenshtein(x.t, y.t) <= {EDITS} GROUP BY x.t),
+d AS MATERIALIZED (SELECT row_number() OVER () AS n, t, f FROM (SELECT t, min((doc_id, i)) AS f FROM l WHERE length(t) >= {LEAST_CHARS} GROUP BY t)),
+h AS (SELECT n, unnest([hash(0, s, left(t, s)), hash(1, s, right(t, s))]) AS k FROM (SELECT n, t, CAST(unnest([length(t) // 2, (length(t) - 1) // 2]) AS INT) AS s FROM d)),
+c AS MATERIALIZED (SELECT * FROM d WHERE n IN (SELECT n FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING min(n) < max(n)))),
+v AS MATERIALIZED (SELECT n, hash(t) AS k FROM c UNION
+      SELECT n, hash(left(t, CAST(j AS INT)) || substr(t, CAST(j AS INT) + 2)) FROM (SELECT n, t, unnest(range(length(t))) AS j FROM c)),
+p AS MATERIALIZED (SELECT DISTINCT x.n AS a, y.n AS b FROM v x JOIN v y ON x.k = y.k WHERE x.n < y.n),
+g AS MATERIALIZED (SELECT x.n AS a, x.f AS af, y.n AS b, y.f AS bf FROM p JOIN c x ON a = x.n JOIN c y ON b = y.n WHERE levenshtein(x.t, y.t) <= {EDITS}),
+e AS (SELECT t, min(f) AS f FROM (SELECT t, f FROM d UNION ALL SELECT t, bf FROM g JOIN d ON n = a UNION ALL SELECT t, af FROM g JOIN d ON n = b) GROUP BY t),
 m AS (SELECT l.doc_id, l.i, l.r, coalesce((l.doc_id, l.i) > e.f, false) AS gone FROM l LEFT JOIN e ON l.t = e.t)
 SELECT doc_id, coalesce(string_agg(r, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text,
   CAST(count(*) AS INT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS INT) AS n_dropped FROM m GROUP BY doc_id
