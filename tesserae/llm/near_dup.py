@@ -1,6 +1,6 @@
 """N-gram Jaccard join by parity sketches.
 
-A document is the set of its word n-grams. Every n-gram is hashed to one bit of a sketch of 64-bit blocks and XORed in,
+A document is the set of its word n-grams. Every n-gram is hashed to one bit of a sketch of blocks and XORed in,
 so a bit is the parity of its n-grams and the Hamming distance of two sketches is at most the symmetric difference of the
 sets. Two sets with Jaccard >= t whose smaller one has at most s members differ in at most D = (1 - t) / t * s n-grams,
 hence in at most D blocks: with m = D + 1 + x blocks they agree on x + 1 or more (pigeonhole). So each document may leave
@@ -9,7 +9,10 @@ chance. What two documents leave out of their common blocks is the same end of o
 blocks, they still share y + 1. Equal blocks are joined within size bands (powers of 1 / t; a band meets itself and the
 next), pairs that share fewer than y + 1 blocks go, and every other pair is verified on the sets.
 
-Documents with the same set are one node of the join, so copies cost nothing.
+Documents with the same set are one node of the join, so copies cost nothing. Families of near copies aren't expanded into
+pairs either: a few pairs for each node, with the least and the greatest node of its heaviest blocks, are verified first and
+join most of every family to one component; then all blocks are joined, but only between components. So every link between
+components is found, and the links inside one are counted by products of incidence matrices where they are asked for.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .common import WORD, WordHashes, keep_winners, materialize, maybe_broadcast
 THRESHOLD, NGRAM = 0.85, 1
 #: x and y as shares of D + 1.
 SLACK, SPARE = 0.4, 0.1
+#: Bits of a block; blocks that a node is looked up by in the first round; further rounds; nodes that are compared at once.
+WIDTH, HUB_KEYS, ROUNDS, TILE = 1024, 4, 2, 512
 
 
 def ngram_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
@@ -68,15 +73,27 @@ class Bands:
         return np.array([self.shape(int(b))[2] for b in found], np.int32)[at]
 
 
-def sketch(members: np.ndarray, blocks: int) -> np.ndarray:
-    """Parity bits, [blocks, 64] of 0 and 1."""
-    h = mix64(members.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    at = (h >> np.uint64(8)) % np.uint64(blocks * 64)
-    return (np.bincount(at.astype(np.int64), minlength=blocks * 64) & 1).astype(np.uint8).reshape(blocks, 64)
-
+def sketch(members: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, weight) of every block: a hash of its parity bits and the number of them that are set.
 
-def block_keys(members: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, bool]]:
-    """The join keys of a set: for the probe of its own band and that of the band below, D + 1 + y hashes of (probe, block, value)."""
+    The value is the XOR of a mixed word for every n-gram's bit, so n-grams that meet on a bit cancel out as its parity does.
+    """
+    h = mix64(members.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at = np.sort((h >> np.uint64(8)) % np.uint64(blocks * WIDTH))
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    odd = at[first][np.diff(np.concatenate([first, [len(at)]])) & 1 == 1]
+    block = (odd // np.uint64(WIDTH)).astype(np.int64)
+    weight = np.bincount(block, minlength=blocks)
+    value = np.zeros(blocks, np.uint64)
+    used = np.flatnonzero(weight)
+    if len(used):
+        value[used] = np.bitwise_xor.reduceat(mix64(odd + np.uint64(1)), np.searchsorted(block, used))
+    return value, weight
+
+
+def block_keys(members: np.ndarray, bands: Bands, most: int | None = None) -> list[tuple[np.ndarray, bool]]:
+    """The join keys of a set: for the probe of its own band and that of the band below, D + 1 + y hashes of (probe, block,
+    value); with ``most`` so many of the heaviest."""
     band, out = bands.of(len(members)), []
     for probe in (band, band - 1):
         if probe < 0:
@@ -84,11 +101,10 @@ def block_keys(members: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, bool
         d, m, shared = bands.shape(probe)
         if d < 1:
             continue  # only equal sets can be that close, and those are one node
-        bits = sketch(members, m)
-        values = np.packbits(bits, axis=1).view(np.uint64).ravel()
+        values, weights = sketch(members, m)
         keys = mix64(values ^ mix64(np.arange(m, dtype=np.uint64) + np.uint64(probe << 32)))
-        order = np.lexsort((keys, bits.sum(axis=1)))
-        out.append((keys[order[m - d - shared :]], probe == band))
+        order = np.lexsort((keys, weights))[m - d - shared :]
+        out.append((keys[order if most is None else order[-most:]], probe == band))
     return out
 
 
@@ -109,31 +125,46 @@ def _sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(build, schema).where("size > 0")
 
 
-def _keys(nodes: DataFrame, threshold: float) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
+def _keys(nodes: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
+    """(key, node, label, size) of every join key; a size below zero: of the band above the probe's."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("size", pa.int32())])
 
     def emit(parts):
         bands = Bands(threshold)
         for b in parts:
-            keys, ids, sizes = [], [], []
-            for node, members in zip(b.column("node").to_pylist(), b.column("members")):
+            keys, at, sizes = [], [], []
+            for i, members in enumerate(b.column("members")):
                 m = np.frombuffer(members.as_buffer(), np.uint32)
-                for k, own in block_keys(m, bands):
+                for k, own in block_keys(m, bands, most):
                     keys.append(k)
-                    ids.append(np.full(len(k), node, np.int64))
-                    sizes.append(np.full(len(k), len(m) if own else -len(m), np.int32))  # minus: of the band above
+                    at.append(np.full(len(k), i))
+                    sizes.append(np.full(len(k), len(m) if own else -len(m), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], schema=schema)
+                at = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column("node").take(at), b.column("label").take(at), pa.array(np.concatenate(sizes))], schema=schema)
+
+    return nodes.select("node", "label", "members").mapInArrow(emit, "key long, node long, label long, size int")
 
-    return nodes.select("node", "members").mapInArrow(emit, "key long, node long, size int")
 
+def _hub_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a node and the smallest and the largest set of one of its heaviest blocks: a few pairs for each node,
+    which join most of a family of near copies. Hot blocks are aggregated before the shuffle."""
+    keys = materialize(_keys(nodes, threshold, HUB_KEYS).select("key", "node", F.abs("size").alias("size")), "near-hub-keys")
+    own = F.struct("size", "node")
+    hubs = keys.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo.node <> hi.node")
+    both = keys.join(hubs, "key").select("node", "size", F.explode(F.array("lo", "hi")).alias("hub"))
+    close = (F.col("hub.node") != F.col("node")) & (F.least("size", "hub.size") >= F.lit(threshold - 1e-9) * F.greatest("size", "hub.size"))
+    return both.where(close).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
+def _run_pairs(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray, threshold: float, bands: Bands):
+    """Pairs within each run [start, end), smaller node first, that have different labels, that the sizes allow and of which
+    one is of the probe's band, with the number of blocks that they must share."""
+    _, node, label, size = columns
 
-def _run_pairs(node: np.ndarray, size: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: float, bands: Bands):
-    """Pairs within each run [start, end), smaller node first, that the sizes allow and of which one is of the probe's band,
-    with the number of blocks that they must share."""
     def allowed(i, j):
         a, b = np.abs(size[i]), np.abs(size[j])
-        ok = ((size[i] > 0) | (size[j] > 0)) & (node[i] != node[j]) & (np.minimum(a, b) >= (threshold - 1e-9) * np.maximum(a, b))
+        ok = ((size[i] > 0) | (size[j] > 0)) & (label[i] != label[j]) & (np.minimum(a, b) >= (threshold - 1e-9) * np.maximum(a, b))
         i, j = i[ok], j[ok]
         return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), bands.needs(np.minimum(a[ok], b[ok]))
 
@@ -149,21 +180,45 @@ def _run_pairs(node: np.ndarray, size: np.ndarray, starts: np.ndarray, ends: np.
                 yield allowed(np.full(e - i - 1, i), np.arange(i + 1, e))
 
 
-def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of nodes that share enough keys. Runs of equal keys are read in order, so a run of any length streams."""
+def _met(nodes: DataFrame, threshold: float) -> DataFrame:
+    """The keys (key, node, label, size) that nodes of several labels have, by an aggregation over the exchange that the join
+    uses too: a family that is one component already costs nothing more, however large. Written out."""
+    keys = _keys(nodes, threshold).repartition("key")
+    return materialize(_mixed(keys), "near-met")
+
+
+def _mixed(keys: DataFrame) -> DataFrame:
+    mixed = keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return keys.join(mixed, "key", "left_semi")
+
+
+def _label_pairs(met: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels, one of which is the hub of enough keys that both have: a few pairs for each
+    node."""
+    hubs = met.groupBy("key").agg(F.min(F.struct("label", "node", "size")).alias("hub"))
+    close = (F.col("hub.label") != F.col("label")) & ((F.col("size") > 0) | (F.col("hub.size") > 0))
+    both = met.join(hubs, "key").where(close).select("node", F.col("hub.node").alias("hub"), F.abs("size").alias("x"), F.abs("hub.size").alias("y"))
+    both = both.where(F.least("x", "y") >= F.lit(threshold - 1e-9) * F.greatest("x", "y"))
+    needs = F.pandas_udf(lambda x: pd.Series(Bands(threshold).needs(x.to_numpy()), index=x.index), "int")
+    counted = both.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("x", "y")).alias("least"))
+    return counted.where(F.col("n") >= needs("least")).select("a", "b")
+
+
+def _candidates(met: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes of different labels that share enough of the keys."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int32())])
 
     def pair(parts):
-        held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
         bands = Bands(threshold)
 
         def pairs_of(columns):
-            key, node, size = columns
+            key = columns[0]
             cut = np.flatnonzero(np.diff(key)) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
             many = ends - starts > 1
             found, n = [], 0
-            for pairs in _run_pairs(node, size, starts[many], ends[many], threshold, bands):
+            for pairs in _run_pairs(columns, starts[many], ends[many], threshold, bands):
                 found.append(pairs)
                 n += len(pairs[0])
                 if n > 200_000:
@@ -187,7 +242,8 @@ def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
         if len(held[0]):
             yield from out(held)
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long, need int").groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
+    placed = met.repartition("key").sortWithinPartitions("key")
+    return placed.mapInArrow(pair, "a long, b long, need int").groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -212,15 +268,42 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     return scored.where(F.col("jaccard") >= threshold - 1e-12)
 
 
-def node_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, edges): the node of each row with a non-empty set as (id, row, node), and (a, b, jaccard) of joined nodes."""
+def node_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, roots, nodes): the node of each row with a non-empty set as (id, row, node), the component (node, root) of every
+    node that is joined to another, and (node, members).
+
+    Two rounds: a few pairs for each node find most of every family; then all keys are joined, but only between nodes that
+    aren't in one component yet, so no family is expanded into its pairs and no link between components is lost.
+    """
     if not 0.5 < threshold <= 1:
         raise ValueError("the threshold must be above 0.5 and at most 1")
     sets = materialize(_sets(docs, n, id_col, text_col), "near-sets")
-    nodes = materialize(sets.groupBy("node").agg(F.first("members").alias("members")), "near-nodes")
-    pairs = materialize(_candidates(_keys(nodes, threshold), threshold), "near-pairs")
-    edges = materialize(_verified(pairs, nodes, threshold), "near-edges")
-    return sets.select("id", "row", "node"), edges
+    rows = sets.select("id", "row", "node")
+    place = F.struct("id", "row")
+    repeated = sets.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    repeated = materialize(repeated.select(F.col("node").alias("again"), "first"), "near-repeated")
+    first = F.col("again").isNull() | (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.row") == F.col("row")))
+    nodes = sets.join(maybe_broadcast(repeated, repeated.count(), 48), F.col("node") == F.col("again"), "left").where(first).select("node", "members")
+    close = materialize(_verified(materialize(_hub_pairs(nodes.withColumn("label", F.col("node")), threshold), "near-hubs"), nodes, threshold), "near-close")
+    known = components(close)
+    labelled = nodes.join(maybe_broadcast(known, known.count(), 40), "node", "left").select("node", F.coalesce("root", "node").alias("label"), "members")
+    met = _met(labelled, threshold)
+    edges = [close]
+    for _ in range(ROUNDS):  # what the first round left in pieces is joined by further hubs, over the few keys that remain
+        more = materialize(_verified(materialize(_label_pairs(met, threshold), "near-hubs"), nodes, threshold), "near-close")
+        edges.append(more)
+        known = components(_union(edges))
+        relabelled = met.drop("label").join(maybe_broadcast(known, known.count(), 40), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"), "size")
+        met = materialize(_mixed(relabelled), "near-met")
+    edges.append(materialize(_verified(materialize(_candidates(met, threshold), "near-pairs"), nodes, threshold), "near-edges"))
+    return rows, components(_union(edges)), nodes
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -256,43 +339,97 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, id
     equal in every column one stays. Rows without a word (null, empty or punctuation-only text) are near nothing and all
     stay. An empty table gives an empty table. Extra columns of any name pass through.
     """
-    rows, edges = node_join(docs, threshold, n, id_col, text_col)
-    roots = components(edges)
+    rows, roots, _ = node_join(docs, threshold, n, id_col, text_col)
     labelled = rows.join(roots, "node", "left").select("id", "row", F.coalesce("root", "node").alias("root"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("w")
     winners = labelled.groupBy("root").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("w.id").alias("wid"), F.col("w.row").alias("wrow"))
     return keep_winners(docs, labelled.join(winners, "root").select("id", "row", "wid", "wrow"), id_col)
 
 
-def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The Jaccard join as pairs (doc_a < doc_b, jaccard), in linear form where sets are equal.
+def _links(roots: DataFrame, nodes: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
+    """(node, links): for every joined node the documents of other nodes that reach the threshold with it.
 
-    Documents with one and the same set are paired with the smallest id among them (jaccard 1); two different sets that
-    reach the threshold are paired once, by the smallest ids that hold them. So all pairs follow: members of two joined
-    sets have the Jaccard of the sets. N-grams are compared by 32-bit hashes. Rows without an id or without a word are in
-    no pair, and rows that share an id are one document. An empty table gives no pairs.
+    The nodes of a component are hashed into tiles of about ``TILE``; each pair of tiles is compared by one product of
+    incidence matrices, and only sums for each node leave the task.
+    """
+    tiles = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    small = roots.join(tiles, "root").join(copies, "node").select("node", "root", "tiles", "n")
+    small = materialize(small, "near-joined")
+    own = nodes.join(maybe_broadcast(small, small.count(), 56), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    placed = own.select("root", "tile", "node", "n", "members", other).select("root", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "node", "n", "members")
+
+    def count(table: pa.Table) -> pa.Table:
+        tile, x, y = table.column("tile").to_numpy(), table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        sets = [np.frombuffer(m.as_buffer(), np.uint32) for c in table.column("members").chunks for m in c]
+        sizes, n = np.array([len(m) for m in sets]), table.column("n").to_numpy()
+        left, right = np.flatnonzero(tile == x), np.flatnonzero(tile == y)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        if len(left) and len(right):
+            word, code = np.unique(np.concatenate(sets), return_inverse=True)
+            owner, place = np.repeat(np.arange(len(sets)), sizes), np.empty(len(sets), np.int64)
+            place[left] = np.arange(len(left))
+            for at in range(0, len(word), 2048):
+                some = (code >= at) & (code < at + 2048)
+                full = np.zeros((len(sets), min(2048, len(word) - at)), np.float32)
+                full[owner[some], code[some] - at] = 1
+                shared += full[left] @ full[right].T
+        union = sizes[left][:, None] + sizes[right][None, :] - shared
+        near = shared / union >= threshold - 1e-12
+        if x == y:
+            np.fill_diagonal(near, False)
+        out = np.zeros(len(sets), np.int64)
+        np.add.at(out, left, near @ n[right])
+        if x != y:
+            np.add.at(out, right, near.T @ n[left])
+        return pa.Table.from_arrays([table.column("node"), pa.array(out)], names=["node", "links"])
+
+    parts = placed.groupBy("root", "x", "y").applyInArrow(count, "node long, links long")
+    return parts.groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The Jaccard join as (id, class_id, n_links), one row for each document.
+
+    Two documents are linked if the Jaccard index of their sets of word n-grams (by 32-bit hashes) is at least the
+    threshold. ``class_id`` is the smallest id that a document is connected to over links, its own if it has none, and
+    ``n_links`` the number of other documents that it is linked to, equal ones too. Rows without an id are left out. Rows that
+    share an id are one document each, and the id has a row for each that differs. Rows equal in every column are one
+    document. A text without a word (null, empty, punctuation) has no link. Texts of any length are compared whole. An empty
+    table gives no rows. Other columns take no part, except that they tell rows apart.
     """
-    rows, edges = node_join(docs.where(q(id_col).isNotNull()), threshold, n, id_col, text_col)
-    heads = rows.groupBy("node").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
-    equal = rows.join(heads.where("n > 1"), "node").where("id <> head").select(F.col("head").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    small = heads.select("node", "head")
-    joined = edges.join(small.toDF("a", "x"), "a").join(small.toDF("b", "y"), "b").where("x <> y")
-    return equal.unionByName(joined.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")).distinct()
+    docs = docs.where(q(id_col).isNotNull())
+    rows, roots, nodes = node_join(docs, threshold, n, id_col, text_col)
+    rows = rows.distinct()
+    copies = materialize(rows.groupBy("node").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")), "near-copies")
+    roots = materialize(roots, "near-roots")
+    links = materialize(_links(roots, nodes, copies.select("node", "n"), threshold), "near-links")
+    least = roots.join(copies, "node").groupBy("root").agg(F.min("head").alias("least"))
+    found = roots.join(least, "root").join(links, "node", "left").select("node", "least", "links")
+    known = copies.join(found, "node", "left").select("node", F.coalesce("least", "head").alias("least"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    own = docs.select(q(id_col).alias("id"), row_hash(docs).alias("row")).distinct()
+    joined = own.join(rows, ["id", "row"], "left").join(known, "node", "left")
+    return joined.select(F.col("id").alias(id_col), F.coalesce("least", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = f"""
-WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS s FROM documents),
+WITH RECURSIVE t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS s FROM documents),
 u AS (SELECT doc_id, unnest(s) AS w, len(s) AS n FROM t),
 sets AS (SELECT doc_id, n, md5(string_agg(w, ' ' ORDER BY w)) AS h FROM u GROUP BY ALL),
-heads AS (SELECT h, min(doc_id) AS head FROM sets GROUP BY h),
-same AS (SELECT head AS doc_a, doc_id AS doc_b, CAST(1 AS DOUBLE) AS jaccard FROM sets JOIN heads USING (h) WHERE doc_id <> head),
+heads AS (SELECT h, min(doc_id) AS head, count(*) AS copies FROM sets GROUP BY h),
 v AS (SELECT doc_id, w, n FROM u JOIN heads ON doc_id = head),
 shared AS (
-  SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS k, any_value(x.n) AS m, any_value(y.n) AS n
-  FROM v x JOIN v y ON x.w = y.w AND x.doc_id < y.doc_id AND least(x.n, y.n) >= {THRESHOLD} * greatest(x.n, y.n) GROUP BY 1, 2)
-SELECT * FROM same UNION ALL SELECT doc_a, doc_b, k / (m + n - k) FROM shared WHERE k >= {THRESHOLD} * (m + n - k)
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, any_value(x.n) AS m, any_value(y.n) AS n
+  FROM v x JOIN v y ON x.w = y.w AND x.doc_id < y.doc_id AND least(x.n, y.n) >= {THRESHOLD} * greatest(x.n, y.n) GROUP BY 1, 2),
+near AS (SELECT a, b FROM shared WHERE k >= {THRESHOLD} * (m + n - k)),
+e AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT head AS id, head AS other FROM heads UNION SELECT id, b FROM reach JOIN e ON other = a),
+least AS (SELECT id, min(other) AS class_id FROM reach GROUP BY id),
+linked AS (SELECT a AS id, sum(copies) AS links FROM e JOIN heads ON b = head GROUP BY a)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(copies - 1, 0) + coalesce(links, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN heads USING (h) LEFT JOIN least ON least.id = head LEFT JOIN linked ON linked.id = head
 """

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tesserae.llm import exact_dedup, line_dedup, near_dup
 from tesserae.llm.common import WORD
@@ -44,30 +45,28 @@ def test_misra_gries_bound():
     assert 400 - len(data) / 21 <= held[7] <= 400 and len(held) <= 20
 
 
-def words(t):
-    return frozenset(WORD.findall((t or "").lower()))
+def grams(t, n=1):
+    w = WORD.findall((t or "").lower())
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or frozenset([tuple(w)] if w else [])
 
 
-def near_brute(data, t=near_dup.THRESHOLD):
-    live = [(i, words(x)) for i, x in data if words(x)]
-    root = {i: i for i, _ in live}
+def near_brute(data, t, n=1):
+    """{id: (smallest id of its class, number of links)} and the ids that stay."""
+    sets = {i: grams(x, n) for i, x in data}
+    root, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    pairs = set()
-    for a in range(len(live)):
-        for b in range(a + 1, len(live)):
-            (i, x), (j, y) = live[a], live[b]
-            if len(x & y) >= t * len(x | y) - 1e-12:
-                pairs.add((i, j))
+    for a, (i, x) in enumerate(sets.items()):
+        for j, y in list(sets.items())[a + 1 :]:
+            if x and y and len(x & y) >= t * len(x | y) - 1e-12:
+                links[i] += 1
+                links[j] += 1
                 root[max(find(i), find(j))] = min(find(i), find(j))
-    groups = defaultdict(list)
-    for i, _ in live:
-        groups[find(i)].append(i)
-    return pairs, {i for i, x in data if not words(x)} | set(groups)
+    return {i: (find(i), links[i]) for i in sets}, {i for i in sets if find(i) == i}
 
 
 def corpus(seed, n=60):
@@ -86,26 +85,33 @@ def corpus(seed, n=60):
     return [*out, (n, None), (n + 1, ""), (n + 2, "?!")]
 
 
-def test_near_dedup_against_brute_force(spark):
-    for seed in (1, 2):
-        data = corpus(seed)
-        df = spark.createDataFrame(data, "doc_id long, text string")
-        pairs, kept = near_brute(data)
-        assert {r.doc_id for r in near_dup.near_dedup(df).collect()} == kept
-        # the linear form of equal sets expands to all pairs
-        sets = {i: words(x) for i, x in data}
-        heads = {}
-        for i, s in sets.items():
-            heads.setdefault(s, i)
-        found = {(r.doc_a, r.doc_b) for r in near_dup.near_pairs(df).collect()}
-        linear = {(heads[sets[a]], b) if sets[a] == sets[b] else tuple(sorted((heads[sets[a]], heads[sets[b]]))) for a, b in pairs}
-        assert found == linear
+@pytest.mark.parametrize(("t", "n"), [(near_dup.THRESHOLD, near_dup.NGRAM), (0.85, 1), (0.6, 3), (0.75, 2)])
+def test_near_dedup_against_brute_force(spark, monkeypatch, t, n):
+    monkeypatch.setattr(near_dup, "TILE", 3)  # components of several tiles
+    data = corpus(round(10 * t) + n)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    classes, kept = near_brute(data, t, n)
+    assert {r.doc_id for r in near_dup.near_dedup(df, t, n).collect()} == kept
+    assert {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_classes(df, t, n).collect()} == classes
+
+
+def test_a_family_is_one_class_without_its_hubs(spark, monkeypatch):
+    """With one block for each node in the first round most links are left to the second."""
+    monkeypatch.setattr(near_dup, "HUB_KEYS", 1)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    data = [(i, " ".join([w if rng.random() > 0.06 else f"x{rng.integers(0, 900)}" for w in base])) for i in range(80)]
+    data += [(900, " ".join(f"y{i}" for i in range(9000)) + " tail"), (901, " ".join(f"y{i}" for i in range(9000)))]  # very long
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    classes, _ = near_brute(data, near_dup.THRESHOLD, near_dup.NGRAM)
+    assert classes[901] == (900, 1)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_classes(df).collect()} == classes
 
 
 def test_every_near_pair_shares_enough_blocks():
     rng = np.random.default_rng(4)
     bands = near_dup.Bands(near_dup.THRESHOLD)
-    for _ in range(200):
+    for _ in range(300):
         base = np.unique(rng.integers(0, 2**32, int(rng.integers(8, 300)), dtype=np.uint32))
         other = base[rng.random(len(base)) > rng.random() * 0.14]
         if len(other) < near_dup.THRESHOLD * len(base):
@@ -122,7 +128,14 @@ def test_near_dedup_odd_rows(spark):
     got = rows(near_dup.near_dedup(df))
     assert got == sorted([ODD[1], ODD[4], ODD[5], ODD[6], ODD[7], ODD[8], ODD[9]], key=repr)
     assert near_dup.near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert near_dup.near_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert near_dup.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
+    # three texts that are alike have an id; of the rows that share id 1 two are equal, and id 8 has two texts
+    want = [(1, 1, 1), (3, 1, 1), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0), (8, 8, 0)]
+    assert rows(near_dup.near_classes(df)) == sorted(want, key=repr)
+    two = spark.createDataFrame([(1, "a b c d e f g h"), (1, "a b c d e f g h i"), (2, "a b c d e f g h")], "doc_id long, text string")
+    assert rows(near_dup.near_classes(two, 0.85, 1)) == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    named = spark.createDataFrame([("b", "x y"), ("a", "x y"), (None, "x y")], "name string, body string")
+    assert rows(near_dup.near_classes(named, id_col="name", text_col="body")) == [("a", "a", 1), ("b", "a", 1)]
 
 
 def edits(a, b):

@@ -22,7 +22,7 @@ def test_sql_is_text():
     assert all(isinstance(s, str) for s in SQL.values())
 
 
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_substring_dedup"])
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{DATA}/*.parquet"):
