@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, WordHashes, keep_winners, materialize, maybe_broadcast, mix64, ngram_hashes, q, row_hash
@@ -28,8 +28,8 @@ from .common import WORD, WordHashes, keep_winners, materialize, maybe_broadcast
 THRESHOLD, NGRAM = 0.85, 1
 #: x and y as shares of D + 1.
 SLACK, SPARE = 0.4, 0.1
-#: Bits of a block; blocks that a node is looked up by in the first round; further rounds; nodes that are compared at once.
-WIDTH, HUB_KEYS, ROUNDS, TILE = 1024, 4, 2, 512
+#: Bits of a block; blocks that a node is looked up by in the first round; nodes that are compared at once.
+WIDTH, HUB_KEYS, TILE = 1024, 4, 512
 
 
 def ngram_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
@@ -181,15 +181,14 @@ def _run_pairs(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray,
 
 
 def _met(nodes: DataFrame, threshold: float) -> DataFrame:
-    """The keys (key, node, label, size) that nodes of several labels have, by an aggregation over the exchange that the join
-    uses too: a family that is one component already costs nothing more, however large. Written out."""
-    keys = _keys(nodes, threshold).repartition("key")
-    return materialize(_mixed(keys), "near-met")
+    """The keys (key, node, label, size) that nodes of several labels have: a family that is one component already costs
+    nothing more. One exchange, with windows that spill. Written out."""
+    return materialize(_mixed(_keys(nodes, threshold)), "near-met")
 
 
 def _mixed(keys: DataFrame) -> DataFrame:
-    mixed = keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return keys.join(mixed, "key", "left_semi")
+    over = Window.partitionBy("key")
+    return keys.withColumn("lo", F.min("label").over(over)).withColumn("hi", F.max("label").over(over)).where("lo <> hi").drop("lo", "hi")
 
 
 def _label_pairs(met: DataFrame, threshold: float) -> DataFrame:
@@ -288,22 +287,13 @@ def node_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, id_
     known = components(close)
     labelled = nodes.join(maybe_broadcast(known, known.count(), 40), "node", "left").select("node", F.coalesce("root", "node").alias("label"), "members")
     met = _met(labelled, threshold)
-    edges = [close]
-    for _ in range(ROUNDS):  # what the first round left in pieces is joined by further hubs, over the few keys that remain
-        more = materialize(_verified(materialize(_label_pairs(met, threshold), "near-hubs"), nodes, threshold), "near-close")
-        edges.append(more)
-        known = components(_union(edges))
-        relabelled = met.drop("label").join(maybe_broadcast(known, known.count(), 40), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"), "size")
-        met = materialize(_mixed(relabelled), "near-met")
-    edges.append(materialize(_verified(materialize(_candidates(met, threshold), "near-pairs"), nodes, threshold), "near-edges"))
-    return rows, components(_union(edges)), nodes
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    # what the first round left in pieces is joined by the hubs of the few keys that remain
+    more = materialize(_verified(materialize(_label_pairs(met, threshold), "near-hubs"), nodes, threshold), "near-more")
+    known = components(close.unionByName(more))
+    relabelled = met.drop("label").join(maybe_broadcast(known, known.count(), 40), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"), "size")
+    pairs = materialize(_candidates(relabelled, threshold), "near-pairs")
+    edges = materialize(_verified(pairs, nodes, threshold), "near-edges")
+    return rows, components(close.unionByName(more).unionByName(edges)), nodes
 
 
 def components(edges: DataFrame) -> DataFrame:
