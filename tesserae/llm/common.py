@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,44 @@ def maybe_broadcast(df: DataFrame, rows: int, bytes_per_row: int, limit: int = B
     return F.broadcast(df) if small_enough(rows, bytes_per_row, limit) else df
 
 
+#: Most bytes of a Bloom filter; beyond it rows aren't sieved before the join that decides.
+SIEVE_BYTES = 8 << 20
+
+
+def sieved(df: DataFrame, column: str, keys: DataFrame, n: int) -> DataFrame:
+    """``df`` without most rows whose long ``column`` isn't among the ``n`` distinct ``keys`` (one long column, no nulls).
+
+    A Bloom filter of about 12 bits a key is put together on the executors and broadcast, so that wide rows leave before a
+    shuffle. It may keep others, so the join that decides still follows; where the filter would be too large, all stay.
+    """
+    bits = max(1 << 10, 1 << (12 * n - 1).bit_length())
+    if bits // 8 > SIEVE_BYTES:
+        return df
+    places = lambda v: [(mix64(v.view(np.uint64) + np.uint64(i * 0x632BE59BD9B4E019 % 2**64)) & np.uint64(bits - 1)).astype(np.int64) for i in range(4)]
+
+    def build(parts):
+        words = np.zeros(bits // 64, np.int64)
+        for b in parts:
+            for at in places(b.column(0).to_numpy()):
+                np.bitwise_or.at(words, at >> 6, np.left_shift(np.int64(1), at & 63))
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_pydict({"word": used.astype(np.int32), "bits": words[used]})
+
+    found = keys.mapInArrow(build, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def may(values: pd.Series) -> pd.Series:
+        held, ok = shared.value, np.ones(len(values), bool)
+        for at in places(values.to_numpy(np.int64)):
+            ok &= (held[at >> 6] >> (at & 63)) & 1 == 1
+        return pd.Series(ok, index=values.index)
+
+    return df.where(may(q(column)))
+
+
 def fresh(df_columns: list[str], base: str) -> str:
     """A column name that clashes with none of ``df_columns`` (case-insensitively, as Spark compares them)."""
     taken = {c.lower() for c in df_columns}
@@ -177,6 +216,14 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix64((sums[n:] - sums[:-n]) * _power_table(count, -1))
 
 
+def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Signed hash of the words of every span [start, end): equal spans have equal hashes wherever they stand."""
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _power_table(len(words), 1), out=sums[1:])
+    back = _power_table(len(words) + 1, -1)
+    return mix64((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)).view(np.int64)
+
+
 def window_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum over every run of ``width`` values, by doubling."""
     if len(values) < width:

@@ -2,8 +2,13 @@
 
 A window is ``length`` consecutive words. Every window has an anchor, the k-gram of least hash inside it, which depends on
 the window's words alone: equal windows have equal anchors wherever they stand. So only windows whose anchor occurs twice
-can repeat. For every recurring anchor the words of the windows that it anchors (a segment) are taken; equal segments are
-one row; windows are confirmed among the segments of one anchor, and the confirmed ranges go back to all occurrences.
+can repeat. One scan writes a short row for every run of windows that share an anchor: the anchor, a hash of the words under
+the run (its content), and hashes of the anchor with as many words to its left, or right, as every window has on one side
+or the other. Words are needed of few runs only:
+
+* A content that stands at two places repeats as a whole.
+* Two contents of one anchor share a window only if they share the words to the left or to the right of it. Of the contents
+  that do, one place each gives its words (a segment); windows are confirmed among the segments of one anchor.
 
 Words are separated by ASCII white space. Rows equal in every column are one document.
 """
@@ -13,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, maybe_broadcast, ngram_hashes, q, row_hash, window_min
+from .common import WordHashes, materialize, ngram_hashes, q, row_hash, sieved, span_hashes, window_min
 
 LENGTH, GRAM = 50, 8
 
@@ -45,80 +50,98 @@ def anchor_places(words: np.ndarray, length: int, gram: int) -> tuple[np.ndarray
     return grams.view(np.int64), (window + (((least & low) - window) & low)).astype(np.int64)
 
 
-def anchor_runs(words: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first, count): runs of windows that share one anchor at one place, in order; none is longer than a window."""
+def anchor_runs(words: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
+    """Runs of windows that share one anchor at one place, in order; none is longer than a window. Columns as in ``places``."""
     grams, place = anchor_places(words, length, gram)
-    if not len(place):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return grams[place[first]], first, np.diff(np.concatenate([first, [len(place)]]))
-
-
-def anchors(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
-    """(h, d, first, count) of every run of every document; d is the hash of the whole row."""
-    schema = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(place)), bool), place[1:] != place[:-1]]))
+    count = np.diff(np.concatenate([first, [len(place)]]))
+    at = place[first]
+    side = (length - gram + 1) // 2  # words that a window has on one side of its anchor at least
+    end = first + count + length - 1
+    left, right = at - first >= side, end - at - gram >= side
+    whole = span_hashes(words, first, end)
+    lefts, rights = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    lefts[left] = span_hashes(words, at[left] - side, at[left] + gram) >> 32 | 1
+    rights[right] = span_hashes(words, at[right], at[right] + gram + side) >> 32 | 1
+    return {"h": grams[at], "c": whole, "l": lefts, "r": rights, "first": first, "count": count}
+
+
+def scanned(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
+    """(h, c, l, r, d, first, count) of every run of every document; d is the hash of the whole row. l and r are 0 where a
+    side is too short to matter."""
+    kinds = {"h": pa.int64(), "c": pa.int64(), "l": pa.int32(), "r": pa.int32(), "d": pa.int64(), "first": pa.int32(), "count": pa.int16()}
+    schema = pa.schema(list(kinds.items()))
 
     def build(parts):
         hashes = ByteHashes()
+        out: list[dict] = []
+        n = 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]).astype(kind.to_pandas_dtype()), kind) for k, kind in kinds.items()], schema=schema)
+
         for b in parts:
-            out = [[], [], [], []]
-            n = 0
             for d, text in zip(b.column("d").to_pylist(), b.column("text")):
-                h, first, count = anchor_runs(word_hashes(text.as_py(), hashes), length, gram)
-                if len(h):
-                    for to, values in zip(out, (h, np.full(len(h), d, np.int64), first.astype(np.int32), count.astype(np.int32))):
-                        to.append(values)
-                    n += len(h)
+                runs = anchor_runs(word_hashes(text.as_py(), hashes), length, gram)
+                if k := len(runs["h"]):
+                    out.append(runs | {"d": np.full(k, d, np.int64)})
+                    n += k
                 if n > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=schema)
-                    out, n = [[], [], [], []], 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=schema)
+                    yield batch()
+                    out, n = [], 0
+        if n:
+            yield batch()
 
     source = docs.select(row_hash(docs).alias("d"), q(text_col).alias("text")).where(F.col("text").isNotNull())
-    return source.mapInArrow(build, "h long, d long, first int, count int")
+    return source.mapInArrow(build, "h long, c long, l int, r int, d long, first int, count short")
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
-    """(d, id, text, runs): the documents with a recurring anchor, and the runs (h, first, count) of such anchors. Written out."""
-    found = materialize(anchors(docs, text_col, length, gram), "passage-places")  # read twice, made once
+def recurring(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
+    """(h, c, d, first, count, many, asked): the runs of anchors that occur twice. many: the content stands at two places, so
+    all its windows repeat. asked: this place is to give the content's words, since it may share windows with another. Written
+    out. All is decided in one exchange of the short rows, by windows that spill."""
     place = F.struct("d", "first")
-    # equal rows have equal places, so a copy of the row doesn't make an anchor recur
-    twice = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
-    recurring = found.join(twice, "h", "left_semi").groupBy("d").agg(F.collect_set(F.struct("h", "first", "count")).alias("runs"))
-    recurring = materialize(recurring, "passage-anchors")
-    size = recurring.agg(F.count(F.lit(1)), F.sum(F.size("runs"))).first()
+    by = {k: Window.partitionBy(*k) for k in (("h",), ("h", "c"), ("h", "l"), ("h", "r"))}
+    found = materialize(scanned(docs, text_col, length, gram), "passage-runs")
+    # equal rows have equal places, so a copy of the row doesn't make an anchor recur, and is harmless in what follows
+    found = found.withColumn("one", F.min(place).over(by["h",])).withColumn("other", F.max(place).over(by["h",])).where("one <> other").drop("one", "other")
+    found = found.withColumn("lo", F.min(place).over(by["h", "c"])).withColumn("many", F.max(place).over(by["h", "c"]) != F.col("lo"))
+    for side in ("l", "r"):
+        over = by["h", side]
+        found = found.withColumn(f"s{side}", (F.col(side) != 0) & (F.min("c").over(over) != F.max("c").over(over)))
+    asked = (F.col("sl") | F.col("sr")) & (F.col("lo.d") == F.col("d")) & (F.col("lo.first") == F.col("first"))
+    return materialize(found.select("h", "c", "d", "first", "count", "many", asked.alias("asked")), "passage-places")
+
+
+def texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(d, id, text) of the documents in ``wanted`` (d, distinct), and of few others."""
     source = docs.select(row_hash(docs).alias("d"), q(id_col).alias("id"), q(text_col).alias("text")).where(F.col("text").isNotNull())
-    return materialize(source.join(maybe_broadcast(recurring, size[0] * 40 + (size[1] or 0) * 24, 1), "d"), "passage-candidates")
+    return sieved(source, "d", wanted, wanted.count())
 
 
-def segments(chosen: DataFrame, length: int) -> DataFrame:
-    """(c, h, d, first, words): for every recurring run the 32-bit hashes of its words; c is the hash of those. Written out."""
-    schema = pa.schema([("c", pa.int64()), ("h", pa.int64()), ("d", pa.int64()), ("first", pa.int32()), ("words", pa.binary())])
+def segments(docs: DataFrame, places: DataFrame, text_col: str, length: int) -> DataFrame:
+    """(c, h, words, many): the 32-bit hashes of the words of every content that was asked for; copies of a row may repeat it."""
+    schema = pa.schema([("c", pa.int64()), ("h", pa.int64()), ("words", pa.binary()), ("many", pa.bool_())])
 
     def build(parts):
-        hashes = ByteHashes()
+        hashes, last = ByteHashes(), None
         for b in parts:
             out = {f.name: [] for f in schema}
             for d, text, runs in zip(b.column("d").to_pylist(), b.column("text"), b.column("runs").to_pylist()):
+                if d == last:  # copies of a row follow each other where the join has sorted them
+                    continue
+                last = d
                 words = (word_hashes(text.as_py(), hashes) >> np.uint64(32)).astype(np.uint32)
                 for r in runs:
-                    data = words[r["first"] : r["first"] + r["count"] + length - 1].tobytes()
-                    out["c"].append(xxhash.xxh3_64_intdigest(data, 1) - (1 << 63))
+                    out["c"].append(r["c"])
                     out["h"].append(r["h"])
-                    out["d"].append(d)
-                    out["first"].append(r["first"])
-                    out["words"].append(data)
+                    out["words"].append(words[r["first"] : r["first"] + r["count"] + length - 1].tobytes())
+                    out["many"].append(r["many"])
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return materialize(chosen.select("d", "text", "runs").mapInArrow(build, "c long, h long, d long, first int, words binary"), "passage-segments")
-
-
-def contents(found: DataFrame) -> DataFrame:
-    """(c, h, words, many): the distinct segments, and whether one stands at two places."""
-    place = F.struct("d", "first")
-    grouped = found.groupBy("c").agg(F.first("h").alias("h"), F.first("words").alias("words"), F.min(place).alias("lo"), F.max(place).alias("hi"))
-    return grouped.select("c", "h", "words", (F.col("lo") != F.col("hi")).alias("many"))
+    wanted = materialize(places.where("asked").groupBy("d").agg(F.collect_set(F.struct("c", "h", "first", "count", "many")).alias("runs")), "passage-asked")
+    source = texts(docs, wanted.select("d"), text_col, text_col).select("d", "text")
+    return source.join(wanted, "d").mapInArrow(build, "c long, h long, words binary, many boolean")
 
 
 def as_ranges(starts: np.ndarray) -> list[dict]:
@@ -129,11 +152,13 @@ def as_ranges(starts: np.ndarray) -> list[dict]:
     return [{"a": int(x[0]), "b": int(x[-1]) + 1} for x in np.split(starts, cut)]
 
 
-def located(found: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(d, windows): every document's confirmed windows as sorted disjoint ranges, from those of its segments."""
-    parts = found.select("c", "d", "first").join(ranges, "c").select("d", "first", F.explode("ranges").alias("r"))
-    places = parts.select("d", F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b")).alias("b")).alias("r"))
-    return places.groupBy("d").agg(F.array_sort(F.collect_set("r")).alias("rs")).select("d", merged("rs", 0).alias("windows"))
+def located(places: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(d, windows): every document's confirmed windows as sorted disjoint ranges: of contents that stand at two places all,
+    of the others the ``ranges`` (c, ranges) confirmed in them."""
+    whole = places.where("many").select("d", F.struct(F.col("first").alias("a"), (F.col("first") + F.col("count")).alias("b")).alias("r"))
+    parts = places.where(~F.col("many")).select("c", "d", "first").join(ranges, "c").select("d", "first", F.explode("ranges").alias("r"))
+    parts = parts.select("d", F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b")).alias("b")).alias("r"))
+    return whole.unionByName(parts).groupBy("d").agg(F.array_sort(F.collect_set("r")).alias("rs")).select("d", merged("rs", 0).alias("windows"))
 
 
 def merged(ranges: str, reach: int):
@@ -148,9 +173,10 @@ def merged(ranges: str, reach: int):
     return F.aggregate(ranges, none, step)
 
 
-def spans(chosen: DataFrame, windows: DataFrame, length: int, id_col: str) -> DataFrame:
+def spans(docs: DataFrame, windows: DataFrame, length: int, id_col: str) -> DataFrame:
     """(id, start_word, n_words): the maximal runs of words that lie in confirmed windows."""
-    joined = chosen.select("d", "id").distinct().join(windows, "d").select("id", F.explode(merged("windows", length - 1)).alias("r"))
+    ids = docs.select(row_hash(docs).alias("d"), q(id_col).alias("id"))
+    joined = ids.join(windows, "d").dropDuplicates(["d"]).select("id", F.explode(merged("windows", length - 1)).alias("r"))
     return joined.select(F.col("id").alias(id_col), F.col("r.a").alias("start_word"), (F.col("r.b") - F.col("r.a") + (length - 1)).alias("n_words"))
 
 

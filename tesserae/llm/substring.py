@@ -5,10 +5,11 @@
    two at the ends; no gap is as long as a window. The distinct tiles are the phrases. They are split over shards of
    bounded size, tiles of one family of copies together where that fits (copies mostly agree on the least of their
    recurring anchors), and each shard is compiled to an Aho-Corasick automaton.
-3. Every document streams through the automata of all shards that hold a phrase with an anchor of the document. A phrase
-   can't occur in a document without its anchor, so no other shard can match, and every occurrence is found. The phrases
-   of a shard come first in the sort order of its partition, so documents stream through with one automaton in memory.
-   Shards with many documents are sliced over several tasks.
+3. Every document streams through the automata of all shards that hold a phrase with an anchor of the document: not whole,
+   but with the stretches of words that such anchors govern. A phrase can't occur elsewhere, nor in another shard, so every
+   occurrence is found, and no text is sent to a shard that can't match it. The phrases of a shard come first in the sort
+   order of its partition, so documents stream through with one automaton in memory. Shards with many documents are sliced
+   over several tasks.
 """
 
 from __future__ import annotations
@@ -27,15 +28,11 @@ SHARD_BYTES, SLICE_DOCS = 1 << 20, 512
 
 
 def confirm(distinct: DataFrame, length: int) -> DataFrame:
-    """(c, ranges): windows that occur at two places. All windows with an anchor meet in one run of the sort order."""
+    """(c, ranges): windows of contents of one place that occur at two places. All segments of an anchor that may share a window
+    meet in one run of the sort order."""
     schema = pa.schema([("c", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
     def decide(group: list[tuple[int, bytes, bool]]):
-        if len(group) == 1:  # windows of one segment have their anchor at different offsets, so they differ
-            c, words, many = group[0]
-            if many:
-                yield c, [{"a": 0, "b": len(words) // 4 - length + 1}]
-            return
         keys, owner, start = [], [], []
         for i, (_, words, many) in enumerate(group):
             w = ngram_hashes(np.frombuffer(words, np.uint32).astype(np.uint64), length)
@@ -46,14 +43,15 @@ def confirm(distinct: DataFrame, length: int) -> DataFrame:
         _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
         yes = counts[inverse] > 1
         for i in np.unique(owner[yes]).tolist():
-            yield group[i][0], passages.as_ranges(np.unique(start[yes & (owner == i)]))
+            if not group[i][2]:
+                yield group[i][0], passages.as_ranges(np.unique(start[yes & (owner == i)]))
 
     def build(parts):
-        group, anchor = [], None
+        group, anchor, seen = [], None, set()
         out: dict[str, list] = {"c": [], "ranges": []}
 
         def flush():
-            for c, ranges in decide(group) if group else ():
+            for c, ranges in decide(group) if len(group) > 1 else ():
                 out["c"].append(c)
                 out["ranges"].append(ranges)
 
@@ -61,8 +59,10 @@ def confirm(distinct: DataFrame, length: int) -> DataFrame:
             for c, h, words, many in zip(*(b.column(x).to_pylist() for x in ("c", "h", "words", "many"))):
                 if h != anchor:
                     flush()
-                    group, anchor = [], h
-                group.append((c, words, many))
+                    group, anchor, seen = [], h, set()
+                if c not in seen:
+                    seen.add(c)
+                    group.append((c, words, many))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
             out["c"], out["ranges"] = [], []
         flush()
@@ -74,32 +74,40 @@ def confirm(distinct: DataFrame, length: int) -> DataFrame:
 
 def tiles(chosen: DataFrame, windows: DataFrame, length: int, gram: int) -> DataFrame:
     """(w, h, family, phrase): the windows that tile every confirmed run, once each; h is the anchor, family the least
-    recurring anchor of a document that has it."""
+    recurring anchor of a document that has it. ``windows``: (d, windows, family, heads); heads are the runs that are the
+    first of their content, and only those give the tiles inside a run, so copies don't repeat them."""
     schema = pa.schema([("w", pa.int64()), ("h", pa.int64()), ("family", pa.int64()), ("phrase", pa.string())])
 
     def build(parts):
-        hashes = passages.ByteHashes()
+        hashes, last_d = passages.ByteHashes(), None
         for b in parts:
             out = {f.name: [] for f in schema}
-            for text, family, ranges in zip(b.column("text"), b.column("family").to_pylist(), b.column("windows").to_pylist()):
+            for d, text, family, heads, ranges in zip(b.column("d").to_pylist(), b.column("text"), b.column("family").to_pylist(), b.column("heads").to_pylist(), b.column("windows").to_pylist()):
+                if d == last_d:
+                    continue
+                last_d = d
                 raw = text.as_py().encode("utf-8", "surrogatepass").split()
                 words = hashes.of(raw)
                 w = ngram_hashes(words, length).view(np.int64)
                 grams, place = passages.anchor_places(words, length, gram)
+                own = np.zeros(len(place) + 1, np.int64)
+                for r in heads:
+                    own[r["first"]] += 1
+                    own[r["first"] + r["count"]] -= 1
+                own = np.cumsum(own) > 0
                 turns = np.flatnonzero(place[1:] != place[:-1]) + 1
                 for r in ranges:
                     start, last = r["a"], r["b"] - 1
                     inner = turns[np.searchsorted(turns, start, side="right") : np.searchsorted(turns, last)]
-                    for p in dict.fromkeys([start, *inner.tolist(), last]):
+                    for p in dict.fromkeys([*([start] if own[start] else []), *inner[own[inner]].tolist(), last]):
                         out["w"].append(int(w[p]))
                         out["h"].append(int(grams[place[p]]))
                         out["family"].append(family)
                         out["phrase"].append(b" ".join(raw[p : p + length]).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    family = F.array_min(F.transform("runs", lambda r: r["h"])).alias("family")
-    joined = chosen.select("d", "text", family).join(windows, "d").select("text", "family", "windows")
-    found = joined.mapInArrow(build, "w long, h long, family long, phrase string")
+    joined = chosen.select("d", "text").join(windows, "d")
+    found = joined.select("d", "text", "family", "heads", "windows").mapInArrow(build, "w long, h long, family long, phrase string")
     return materialize(found.groupBy("w").agg(F.first("h").alias("h"), F.min("family").alias("family"), F.first("phrase").alias("phrase")), "phrase-tiles")
 
 
@@ -137,14 +145,46 @@ def text_words(text: str) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
 
+def stretches(chosen: DataFrame, routes: DataFrame, length: int) -> DataFrame:
+    """(shard, d, start, text): the words of every document that a shard is to see, neighbouring runs as one text."""
+    schema = pa.schema([("shard", pa.int32()), ("d", pa.int64()), ("start", pa.int32()), ("text", pa.string())])
+
+    def cut(parts):
+        last = None
+        for b in parts:
+            out = {f.name: [] for f in schema}
+            for d, text, runs in zip(b.column("d").to_pylist(), b.column("text"), b.column("runs").to_pylist()):
+                if d == last:
+                    continue
+                last, words, open_ = d, text_words(text.as_py()), {}
+
+                def close(shard, a, e, d=d, words=words, out=out):
+                    for k, v in (("shard", shard), ("d", d), ("start", a), ("text", " ".join(words[a:e]))):
+                        out[k].append(v)
+
+                for r in sorted(runs, key=lambda r: r["first"]):
+                    a, e = r["first"], r["first"] + r["count"] + length - 1
+                    held = open_.get(r["shard"])
+                    if held and a <= held[1]:
+                        held[1] = max(held[1], e)
+                    else:
+                        if held:
+                            close(r["shard"], *held)
+                        open_[r["shard"]] = [a, e]
+                for shard, held in open_.items():
+                    close(shard, *held)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return chosen.select("d", "text").join(routes, "d").select("d", "text", "runs").mapInArrow(cut, "shard int, d long, start int, text string")
+
+
 def stream(chosen: DataFrame, phrases: DataFrame, routes: DataFrame, length: int) -> DataFrame:
-    """(d, rs): ranges of windows at which a phrase of a shard was found."""
-    slices = materialize(routes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SLICE_DOCS).cast("int").alias("slices")), "phrase-slices")
-    n = slices.count()
-    slices = maybe_broadcast(slices, n, 16)
-    texts = routes.join(slices, "shard").select("d", "shard", F.pmod(F.xxhash64("d"), F.col("slices")).cast("int").alias("slice"))
-    texts = texts.join(chosen.select("d", "text"), "d").select("shard", "slice", F.lit(1).alias("kind"), "d", "text")
-    words = phrases.join(slices, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("d"), F.col("phrase").alias("text"))
+    """(d, rs): ranges of windows at which a phrase of a shard was found. ``routes``: (d, runs of (shard, first, count))."""
+    slices = routes.select("d", F.explode(F.array_distinct(F.transform("runs", lambda r: r["shard"]))).alias("shard"))
+    slices = materialize(slices.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SLICE_DOCS).cast("int").alias("slices")), "phrase-slices")
+    slices = maybe_broadcast(slices, slices.count(), 16)
+    texts = stretches(chosen, routes, length).join(slices, "shard").select("shard", F.pmod(F.xxhash64("d"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("kind"), "d", "start", "text")
+    words = phrases.join(slices, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("d"), F.lit(0).alias("start"), F.col("phrase").alias("text"))
     placed = words.unionByName(texts).repartition("shard", "slice").sortWithinPartitions("shard", "slice", "kind")
     schema = pa.schema([("d", pa.int64()), ("rs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
@@ -152,7 +192,7 @@ def stream(chosen: DataFrame, phrases: DataFrame, routes: DataFrame, length: int
         at, held, machine = None, [], None
         for b in parts:
             out = {"d": [], "rs": []}
-            for shard, part, kind, d, text in zip(*(b.column(x).to_pylist() for x in ("shard", "slice", "kind", "d", "text"))):
+            for shard, part, kind, d, start, text in zip(*(b.column(x).to_pylist() for x in ("shard", "slice", "kind", "d", "start", "text"))):
                 if (shard, part) != at:
                     at, held, machine = (shard, part), [], None
                 if kind == 0:
@@ -163,7 +203,7 @@ def stream(chosen: DataFrame, phrases: DataFrame, routes: DataFrame, length: int
                 found = occurrences(text, machine)
                 if len(found):
                     out["d"].append(d)
-                    out["rs"].append(passages.as_ranges(found))
+                    out["rs"].append(passages.as_ranges(found + start))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return placed.mapInArrow(search, "d long, rs array<struct<a:int,b:int>>")
@@ -179,15 +219,22 @@ def repeated_spans(docs: DataFrame, length: int = passages.LENGTH, gram: int = p
     """
     if not 1 <= gram <= length:
         raise ValueError("a gram must be of 1 to `length` words")
-    chosen = passages.candidates(docs, id_col, text_col, length, gram)
-    found = passages.segments(chosen, length)
-    confirmed = materialize(passages.located(found, confirm(passages.contents(found), length)), "phrase-windows")
-    phrases = sharded(tiles(chosen, confirmed, length, gram), shard_bytes)
-    anchors = found.select("h", "d").distinct()
-    routes = materialize(anchors.join(phrases.select("h", "shard").distinct(), "h").select("d", "shard").distinct(), "phrase-routes")
+    places = passages.recurring(docs, text_col, length, gram)
+    ranges = confirm(passages.segments(docs, places, text_col, length), length)
+    confirmed = materialize(passages.located(places, ranges), "phrase-windows")
+    chosen = materialize(passages.texts(docs, confirmed.select("d"), id_col, text_col).join(confirmed.select("d"), "d", "left_semi"), "phrase-texts")
+    first = places.groupBy("c").agg(F.min(F.struct("d", "first")).alias("lo"))
+    heads = places.join(first, "c").where((F.col("lo.d") == F.col("d")) & (F.col("lo.first") == F.col("first")))
+    heads = heads.groupBy("d").agg(F.collect_set(F.struct("first", "count")).alias("heads"))
+    family = places.groupBy("d").agg(F.min("h").alias("family"))
+    none = F.array().cast("array<struct<first:int,count:smallint>>")
+    known = confirmed.join(family, "d").join(heads, "d", "left").select("d", "windows", "family", F.coalesce("heads", none).alias("heads"))
+    phrases = materialize(sharded(tiles(chosen, known, length, gram), shard_bytes), "phrase-shards")
+    routes = places.select("h", "d", "first", "count").join(phrases.select("h", "shard").distinct(), "h")
+    routes = materialize(routes.groupBy("d").agg(F.collect_set(F.struct("shard", "first", "count")).alias("runs")), "phrase-routes")
     hits = stream(chosen, phrases.select("shard", "phrase"), routes, length)
     windows = hits.select("d", F.explode("rs").alias("r")).groupBy("d").agg(F.array_sort(F.collect_set("r")).alias("rs"))
-    return passages.spans(chosen, windows.select("d", passages.merged("rs", 0).alias("windows")), length, id_col)
+    return passages.spans(docs, windows.select("d", passages.merged("rs", 0).alias("windows")), length, id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -336,7 +336,7 @@ def spill_folder(spark) -> str | None:
 
 
 def confirm(distinct: DataFrame, length: int, shards: int, memory: int) -> DataFrame:
-    """(c, ranges): windows that occur at two places, by the suffix array of each shard."""
+    """(c, ranges): windows of contents of one place that occur at two places, by the suffix array of each shard."""
     shared = spill_folder(distinct.sparkSession)
     schema = pa.schema([("c", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
@@ -346,17 +346,14 @@ def confirm(distinct: DataFrame, length: int, shards: int, memory: int) -> DataF
             folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
         elif not os.path.isdir(folder):
             os.makedirs(folder, exist_ok=True)
-        _, group, size = np.unique(table.column("h").to_numpy(), return_inverse=True, return_counts=True)
-        alone = size[group] == 1  # windows of one segment differ, as their anchor is at different offsets: nothing to sort
+        c, once = np.unique(table.column("c").to_numpy(), return_index=True)  # copies of a row give a content twice
+        table = table.take(pa.array(once))
         words = [np.frombuffer(w.as_buffer(), np.uint32) for chunk in table.column("words").chunks for w in chunk]
-        found = dict(zip(np.flatnonzero(~alone).tolist(), repeated_windows([w for w, one in zip(words, alone) if not one], length, folder, memory)))
         ids, ranges = [], []
-        for i, (c, twice) in enumerate(zip(table.column("c").to_pylist(), table.column("many").to_pylist())):
-            # one row stands for equal segments: if there are several, all their windows repeat
-            starts = np.arange(len(words[i]) - length + 1) if twice else found.get(i, ())
-            if len(starts):
-                ids.append(c)
-                ranges.append(passages.as_ranges(np.asarray(starts)))
+        for i, (many, starts) in enumerate(zip(table.column("many").to_pylist(), repeated_windows(words, length, folder, memory))):
+            if len(starts) and not many:  # of a content at several places all windows repeat anyway
+                ids.append(int(c[i]))
+                ranges.append(passages.as_ranges(starts))
         return pa.Table.from_pydict({"c": ids, "ranges": ranges}, schema=schema)
 
     sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
@@ -374,13 +371,12 @@ def repeated_spans(docs: DataFrame, length: int = passages.LENGTH, gram: int = p
     """
     if not 1 <= gram <= length:
         raise ValueError("a gram must be of 1 to `length` words")
-    chosen = passages.candidates(docs, id_col, text_col, length, gram)
-    found = passages.segments(chosen, length)
-    distinct = materialize(passages.contents(found), "suffix-segments")
+    places = passages.recurring(docs, text_col, length, gram)
+    distinct = materialize(passages.segments(docs, places, text_col, length), "suffix-segments")
     total = distinct.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(1, -(-total // (4 * shard_words)))
-    windows = passages.located(found, materialize(confirm(distinct, length, shards, memory), "suffix-ranges"))
-    return passages.spans(chosen, windows, length, id_col)
+    windows = passages.located(places, materialize(confirm(distinct, length, shards, memory), "suffix-ranges"))
+    return passages.spans(docs, windows, length, id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
