@@ -183,24 +183,9 @@ def _run_pairs(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray,
 def _met(nodes: DataFrame, threshold: float) -> DataFrame:
     """The keys (key, node, label, size) that nodes of several labels have: a family that is one component already costs
     nothing more. One exchange, with windows that spill. Written out."""
-    return materialize(_mixed(_keys(nodes, threshold)), "near-met")
-
-
-def _mixed(keys: DataFrame) -> DataFrame:
     over = Window.partitionBy("key")
-    return keys.withColumn("lo", F.min("label").over(over)).withColumn("hi", F.max("label").over(over)).where("lo <> hi").drop("lo", "hi")
-
-
-def _label_pairs(met: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different labels, one of which is the hub of enough keys that both have: a few pairs for each
-    node."""
-    hubs = met.groupBy("key").agg(F.min(F.struct("label", "node", "size")).alias("hub"))
-    close = (F.col("hub.label") != F.col("label")) & ((F.col("size") > 0) | (F.col("hub.size") > 0))
-    both = met.join(hubs, "key").where(close).select("node", F.col("hub.node").alias("hub"), F.abs("size").alias("x"), F.abs("hub.size").alias("y"))
-    both = both.where(F.least("x", "y") >= F.lit(threshold - 1e-9) * F.greatest("x", "y"))
-    needs = F.pandas_udf(lambda x: pd.Series(Bands(threshold).needs(x.to_numpy()), index=x.index), "int")
-    counted = both.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("x", "y")).alias("least"))
-    return counted.where(F.col("n") >= needs("least")).select("a", "b")
+    keys = _keys(nodes, threshold).withColumn("lo", F.min("label").over(over)).withColumn("hi", F.max("label").over(over))
+    return materialize(keys.where("lo <> hi").drop("lo", "hi"), "near-met")
 
 
 def _candidates(met: DataFrame, threshold: float) -> DataFrame:
@@ -287,13 +272,9 @@ def node_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, id_
     known = components(close)
     labelled = nodes.join(maybe_broadcast(known, known.count(), 40), "node", "left").select("node", F.coalesce("root", "node").alias("label"), "members")
     met = _met(labelled, threshold)
-    # what the first round left in pieces is joined by the hubs of the few keys that remain
-    more = materialize(_verified(materialize(_label_pairs(met, threshold), "near-hubs"), nodes, threshold), "near-more")
-    known = components(close.unionByName(more))
-    relabelled = met.drop("label").join(maybe_broadcast(known, known.count(), 40), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"), "size")
-    pairs = materialize(_candidates(relabelled, threshold), "near-pairs")
+    pairs = materialize(_candidates(met, threshold), "near-pairs")
     edges = materialize(_verified(pairs, nodes, threshold), "near-edges")
-    return rows, components(close.unionByName(more).unionByName(edges)), nodes
+    return rows, components(close.unionByName(edges)), nodes
 
 
 def components(edges: DataFrame) -> DataFrame:
