@@ -97,9 +97,10 @@ def scanned(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame
 
 
 def recurring(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
-    """(h, c, d, first, count, many, asked): the runs of anchors that occur twice. many: the content stands at two places, so
-    all its windows repeat. asked: this place is to give the content's words, since it may share windows with another. Written
-    out. All is decided in one exchange of the short rows, by windows that spill."""
+    """(h, c, d, first, count, many, head, asked): the runs of anchors that occur twice. many: the content stands at two places,
+    so all its windows repeat. head: this is the first place of the content. asked: it is to give the content's words, since
+    those may share windows with another. Written out. All is decided in one exchange of the short rows, by windows that
+    spill."""
     place = F.struct("d", "first")
     by = {k: Window.partitionBy(*k) for k in (("h",), ("h", "c"), ("h", "l"), ("h", "r"))}
     found = materialize(scanned(docs, text_col, length, gram), "passage-runs")
@@ -109,8 +110,8 @@ def recurring(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFra
     for side in ("l", "r"):
         over = by["h", side]
         found = found.withColumn(f"s{side}", (F.col(side) != 0) & (F.min("c").over(over) != F.max("c").over(over)))
-    asked = (F.col("sl") | F.col("sr")) & (F.col("lo.d") == F.col("d")) & (F.col("lo.first") == F.col("first"))
-    return materialize(found.select("h", "c", "d", "first", "count", "many", asked.alias("asked")), "passage-places")
+    head = (F.col("lo.d") == F.col("d")) & (F.col("lo.first") == F.col("first"))
+    return materialize(found.select("h", "c", "d", "first", "count", "many", head.alias("head"), (head & (F.col("sl") | F.col("sr"))).alias("asked")), "passage-places")
 
 
 def texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:

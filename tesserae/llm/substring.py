@@ -2,22 +2,24 @@
 
 1. Recurring passages are confirmed: windows of ``length`` words that occur twice (``passages``).
 2. Every document's confirmed run is tiled by windows: those at which the anchor changes, which near copies share, and the
-   two at the ends; no gap is as long as a window. The distinct tiles are the phrases. They are split over shards of
-   bounded size, tiles of one family of copies together where that fits (copies mostly agree on the least of their
-   recurring anchors), and each shard is compiled to an Aho-Corasick automaton.
-3. Every document streams through the automata of all shards that hold a phrase with an anchor of the document: not whole,
-   but with the stretches of words that such anchors govern. A phrase can't occur elsewhere, nor in another shard, so every
-   occurrence is found, and no text is sent to a shard that can't match it. The phrases of a shard come first in the sort
-   order of its partition, so documents stream through with one automaton in memory. Shards with many documents are sliced
-   over several tasks.
+   two at the ends; no gap is as long as a window. The tiles are the phrases; a content's first place gives those inside it.
+   Every anchor has one shard, anchors of one family of copies share it where that fits (copies mostly agree on the least of
+   their confirmed anchors), and each shard is compiled to an Aho-Corasick automaton of bounded size.
+3. Every document streams through the automata of all shards of its anchors: not whole, but with the stretches of words that
+   such anchors govern. A phrase can't occur elsewhere, nor in another shard, so every occurrence is found, and no text is
+   sent to a shard that can't match it. Phrases and stretches are cut in one pass over the texts. The phrases of a shard come
+   first in the sort order of its partition, so documents stream through with one automaton in memory. Shards with many
+   documents are sliced over several tasks.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import passages
@@ -72,54 +74,77 @@ def confirm(distinct: DataFrame, length: int) -> DataFrame:
     return placed.mapInArrow(build, "c long, ranges array<struct<a:int,b:int>>")
 
 
-def tiles(chosen: DataFrame, windows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(w, h, family, phrase): the windows that tile every confirmed run, once each; h is the anchor, family the least
-    recurring anchor of a document that has it. ``windows``: (d, windows, family, heads); heads are the runs that are the
-    first of their content, and only those give the tiles inside a run, so copies don't repeat them."""
-    schema = pa.schema([("w", pa.int64()), ("h", pa.int64()), ("family", pa.int64()), ("phrase", pa.string())])
+def sharded(runs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """(h, shard, slices) of every anchor of the confirmed ``runs``. A family whose phrases may take more than ``shard_bytes`` is
+    split over several shards; the documents of a shard over several slices."""
+    own = runs.withColumn("family", F.min("h").over(Window.partitionBy("d")))
+    about = 2 * 7 * length  # bytes of the phrases of a content, roughly
+    anchors = materialize(own.groupBy("h").agg(F.min("family").alias("family"), F.sum(F.col("head").cast("int") * F.lit(about)).alias("bytes"), F.count(F.lit(1)).alias("n")), "phrase-anchors")
+    families = materialize(anchors.groupBy("family").agg(F.sum("bytes").alias("bytes")), "phrase-families")
+    rows, total = families.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    shards = max(1, -(-(total or 0) // shard_bytes))
+    parts = families.select("family", F.greatest(F.lit(1), F.ceil(F.col("bytes") / shard_bytes)).alias("parts"))
+    part = F.pmod(F.xxhash64("h"), F.col("parts"))
+    placed = anchors.join(maybe_broadcast(parts, rows, 32), "family").withColumn("shard", F.pmod(F.xxhash64("family", part), F.lit(shards)).cast("int"))
+    placed = materialize(placed.select("h", "shard", "n"), "phrase-shards")
+    # a run has some 21 windows, a document in a slice some 16 runs
+    slices = placed.groupBy("shard").agg(F.ceil(F.sum("n") / (16 * SLICE_DOCS)).cast("int").alias("slices"))
+    return placed.select("h", "shard").join(maybe_broadcast(slices, shards, 16), "shard")
+
+
+def cut(documents: DataFrame, length: int, gram: int) -> DataFrame:
+    """(shard, slice, kind, d, start, text) of (d, text, runs, windows): phrases (kind 0) for every slice of their shard, and the
+    stretches of the document (kind 1), neighbouring runs of a shard as one text."""
+    kinds = {"shard": pa.int32(), "slice": pa.int32(), "kind": pa.int32(), "d": pa.int64(), "start": pa.int32(), "text": pa.string()}
+    schema = pa.schema(list(kinds.items()))
 
     def build(parts):
-        hashes, last_d = passages.ByteHashes(), None
+        last_d, size = None, 0
+        out: dict[str, list] = {k: [] for k in kinds}
+
+        def put(*row):
+            for column, value in zip(out.values(), row):
+                column.append(value)
+
         for b in parts:
-            out = {f.name: [] for f in schema}
-            for d, text, family, heads, ranges in zip(b.column("d").to_pylist(), b.column("text"), b.column("family").to_pylist(), b.column("heads").to_pylist(), b.column("windows").to_pylist()):
-                if d == last_d:
+            for d, text, runs, ranges in zip(b.column("d").to_pylist(), b.column("text"), b.column("runs").to_pylist(), b.column("windows").to_pylist()):
+                if d == last_d:  # copies of a row follow each other
                     continue
-                last_d = d
-                raw = text.as_py().encode("utf-8", "surrogatepass").split()
-                words = hashes.of(raw)
-                w = ngram_hashes(words, length).view(np.int64)
-                grams, place = passages.anchor_places(words, length, gram)
-                own = np.zeros(len(place) + 1, np.int64)
-                for r in heads:
-                    own[r["first"]] += 1
-                    own[r["first"] + r["count"]] -= 1
-                own = np.cumsum(own) > 0
-                turns = np.flatnonzero(place[1:] != place[:-1]) + 1
+                last_d, words, open_ = d, text_words(text.as_py()), {}
+                runs.sort(key=lambda r: r["first"])
+                firsts = [r["first"] for r in runs]
                 for r in ranges:
-                    start, last = r["a"], r["b"] - 1
-                    inner = turns[np.searchsorted(turns, start, side="right") : np.searchsorted(turns, last)]
-                    for p in dict.fromkeys([*([start] if own[start] else []), *inner[own[inner]].tolist(), last]):
-                        out["w"].append(int(w[p]))
-                        out["h"].append(int(grams[place[p]]))
-                        out["family"].append(family)
-                        out["phrase"].append(b" ".join(raw[p : p + length]).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    joined = chosen.select("d", "text").join(windows, "d")
-    found = joined.select("d", "text", "family", "heads", "windows").mapInArrow(build, "w long, h long, family long, phrase string")
-    return materialize(found.groupBy("w").agg(F.first("h").alias("h"), F.min("family").alias("family"), F.first("phrase").alias("phrase")), "phrase-tiles")
+                    # the runs of a range follow each other without a gap
+                    i, end = bisect_right(firsts, r["a"]) - 1, r["b"] - 1
+                    points = [(r["a"], runs[i])] if runs[i]["head"] else []
+                    while i + 1 < len(runs) and firsts[i + 1] < end:
+                        i += 1
+                        if runs[i]["head"]:
+                            points.append((firsts[i], runs[i]))
+                    points.append((end, runs[bisect_right(firsts, end) - 1]))
+                    for p, run in dict(points).items():
+                        phrase = " ".join(words[p : p + length])
+                        size += len(phrase) * run["slices"]
+                        for k in range(run["slices"]):
+                            put(run["shard"], k, 0, 0, 0, phrase)
+                for r in runs:
+                    a, e = r["first"], r["first"] + r["count"] + length - 1
+                    held = open_.get(r["shard"])
+                    if held and a <= held[1]:
+                        held[1] = e
+                        continue
+                    if held:
+                        put(r["shard"], d % held[2], 1, d, held[0], " ".join(words[held[0] : held[1]]))
+                    open_[r["shard"]] = [a, e, r["slices"]]
+                for shard, held in open_.items():
+                    put(shard, d % held[2], 1, d, held[0], " ".join(words[held[0] : held[1]]))
+                size += 8 * len(words)
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], schema=schema)
+                    out, size = {k: [] for k in kinds}, 0
+        yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], schema=schema)
 
-
-def sharded(phrases: DataFrame, shard_bytes: int) -> DataFrame:
-    """``phrases`` with a shard. A family of more than ``shard_bytes`` is split over several."""
-    families = materialize(phrases.groupBy("family").agg(F.sum(F.octet_length("phrase")).alias("bytes")), "phrase-families")
-    rows, total = families.agg(F.count(F.lit(1)), F.sum("bytes")).first()
-    shards = max(1, -(-(total or 0) // shard_bytes))
-    parts = families.select("family", F.ceil(F.col("bytes") / shard_bytes).alias("parts"))
-    part = F.pmod(F.xxhash64("w"), F.col("parts"))
-    joined = phrases.join(maybe_broadcast(parts, rows, 32), "family")
-    return joined.withColumn("shard", F.pmod(F.xxhash64("family", part), F.lit(shards)).cast("int")).select("h", "phrase", "shard")
+    return documents.select("d", "text", "runs", "windows").mapInArrow(build, "shard int, slice int, kind int, d long, start int, text string")
 
 
 def automaton(phrases: list[str]) -> ahocorasick.Automaton:
@@ -145,61 +170,23 @@ def text_words(text: str) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
 
-def stretches(chosen: DataFrame, routes: DataFrame, length: int) -> DataFrame:
-    """(shard, d, start, text): the words of every document that a shard is to see, neighbouring runs as one text."""
-    schema = pa.schema([("shard", pa.int32()), ("d", pa.int64()), ("start", pa.int32()), ("text", pa.string())])
-
-    def cut(parts):
-        last = None
-        for b in parts:
-            out = {f.name: [] for f in schema}
-            for d, text, runs in zip(b.column("d").to_pylist(), b.column("text"), b.column("runs").to_pylist()):
-                if d == last:
-                    continue
-                last, words, open_ = d, text_words(text.as_py()), {}
-
-                def close(shard, a, e, d=d, words=words, out=out):
-                    for k, v in (("shard", shard), ("d", d), ("start", a), ("text", " ".join(words[a:e]))):
-                        out[k].append(v)
-
-                for r in sorted(runs, key=lambda r: r["first"]):
-                    a, e = r["first"], r["first"] + r["count"] + length - 1
-                    held = open_.get(r["shard"])
-                    if held and a <= held[1]:
-                        held[1] = max(held[1], e)
-                    else:
-                        if held:
-                            close(r["shard"], *held)
-                        open_[r["shard"]] = [a, e]
-                for shard, held in open_.items():
-                    close(shard, *held)
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return chosen.select("d", "text").join(routes, "d").select("d", "text", "runs").mapInArrow(cut, "shard int, d long, start int, text string")
-
-
-def stream(chosen: DataFrame, phrases: DataFrame, routes: DataFrame, length: int) -> DataFrame:
-    """(d, rs): ranges of windows at which a phrase of a shard was found. ``routes``: (d, runs of (shard, first, count))."""
-    slices = routes.select("d", F.explode(F.array_distinct(F.transform("runs", lambda r: r["shard"]))).alias("shard"))
-    slices = materialize(slices.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SLICE_DOCS).cast("int").alias("slices")), "phrase-slices")
-    slices = maybe_broadcast(slices, slices.count(), 16)
-    texts = stretches(chosen, routes, length).join(slices, "shard").select("shard", F.pmod(F.xxhash64("d"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("kind"), "d", "start", "text")
-    words = phrases.join(slices, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("d"), F.lit(0).alias("start"), F.col("phrase").alias("text"))
-    placed = words.unionByName(texts).repartition("shard", "slice").sortWithinPartitions("shard", "slice", "kind")
+def stream(rows: DataFrame) -> DataFrame:
+    """(d, rs): ranges of windows at which a phrase of a shard was found in its stretches. ``rows`` as ``cut`` gives them."""
+    placed = rows.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "kind")
     schema = pa.schema([("d", pa.int64()), ("rs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
     def search(parts):
-        at, held, machine = None, [], None
+        at, held, machine = None, {}, None
         for b in parts:
             out = {"d": [], "rs": []}
             for shard, part, kind, d, start, text in zip(*(b.column(x).to_pylist() for x in ("shard", "slice", "kind", "d", "start", "text"))):
                 if (shard, part) != at:
-                    at, held, machine = (shard, part), [], None
+                    at, held, machine = (shard, part), {}, None
                 if kind == 0:
-                    held.append(text)
+                    held[text] = None
                     continue
                 if machine is None:
-                    machine, held = automaton(held), []
+                    machine, held = automaton(list(held)), {}
                 found = occurrences(text, machine)
                 if len(found):
                     out["d"].append(d)
@@ -221,18 +208,17 @@ def repeated_spans(docs: DataFrame, length: int = passages.LENGTH, gram: int = p
         raise ValueError("a gram must be of 1 to `length` words")
     places = passages.recurring(docs, text_col, length, gram)
     ranges = confirm(passages.segments(docs, places, text_col, length), length)
-    confirmed = materialize(passages.located(places, ranges), "phrase-windows")
-    chosen = materialize(passages.texts(docs, confirmed.select("d"), id_col, text_col).join(confirmed.select("d"), "d", "left_semi"), "phrase-texts")
-    first = places.groupBy("c").agg(F.min(F.struct("d", "first")).alias("lo"))
-    heads = places.join(first, "c").where((F.col("lo.d") == F.col("d")) & (F.col("lo.first") == F.col("first")))
-    heads = heads.groupBy("d").agg(F.collect_set(F.struct("first", "count")).alias("heads"))
-    family = places.groupBy("d").agg(F.min("h").alias("family"))
-    none = F.array().cast("array<struct<first:int,count:smallint>>")
-    known = confirmed.join(family, "d").join(heads, "d", "left").select("d", "windows", "family", F.coalesce("heads", none).alias("heads"))
-    phrases = materialize(sharded(tiles(chosen, known, length, gram), shard_bytes), "phrase-shards")
-    routes = places.select("h", "d", "first", "count").join(phrases.select("h", "shard").distinct(), "h")
-    routes = materialize(routes.groupBy("d").agg(F.collect_set(F.struct("shard", "first", "count")).alias("runs")), "phrase-routes")
-    hits = stream(chosen, phrases.select("shard", "phrase"), routes, length)
+    kept = ["h", "d", "first", "count", "head"]
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("count").cast("int").alias("b"))).alias("ranges")
+    runs = places.where("many").select(*kept, whole).unionByName(places.where(~F.col("many")).join(ranges, "c").select(*kept, "ranges"))
+    runs = materialize(runs, "phrase-runs")
+    known = runs.join(sharded(runs, length, shard_bytes), "h")
+    moved = F.transform("ranges", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"]).alias("b")))
+    known = known.select("d", F.struct("first", "count", "head", "shard", "slices").alias("run"), moved.alias("at"))
+    known = known.groupBy("d").agg(F.collect_set("run").alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("at"))
+    known = materialize(known.select("d", "runs", passages.merged("at", 0).alias("windows")), "phrase-documents")
+    source = passages.texts(docs, known.select("d"), text_col, text_col).select("d", "text")
+    hits = stream(cut(source.join(known, "d"), length, gram))
     windows = hits.select("d", F.explode("rs").alias("r")).groupBy("d").agg(F.array_sort(F.collect_set("r")).alias("rs"))
     return passages.spans(docs, windows.select("d", passages.merged("rs", 0).alias("windows")), length, id_col)
 
