@@ -246,3 +246,26 @@ def test_knapsack_against_brute_force():
             best[room] = max([best[room - 1]] + [best[room - s] + w[s - 1] for s in range(1, room + 1)])
         value, counts = packing.price(w, n)
         assert value == pytest.approx(best[n]) and (counts * np.arange(1, n + 1)).sum() <= n and (counts * w).sum() == pytest.approx(value)
+
+
+def test_replicas_and_ratio_act(spark):
+    """Boundary vectors stand in several lists, a query probes a part of them, and recall holds; other rows than the queries are
+    candidates only."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = e.toPandas().sort_values("vec_id")
+    v, ids = np.stack(rows.embedding).astype(np.float32), rows.vec_id.to_numpy()
+    points = ann.vectors(e, "vec_id", "embedding")
+    graph = ann.Graph(ann.train_centroids(points, len(v), 16))
+    near, dist = graph.search(v, ann.BEAM)
+    held = ann.chosen_lists(dist[:, : ann.REPLICAS], ann.BOUNDARY).sum(1)
+    assert 1.5 < held.mean() <= ann.REPLICAS
+    row, _ = ann.probed(graph, v, np.bincount(near[:, 0], minlength=len(graph.points)), ann.PROBE, 16)
+    assert len(row) / len(v) < 0.9 * len(graph.points)
+    asked = e.where("vec_id % 50 = 0")
+    got = ann.neighbours(e, queries=asked, list_size=16).toPandas()
+    assert sorted(got.vec_id.unique()) == [i for i in ids if i % 50 == 0]
+    found = got.groupby("vec_id")["neighbour"].apply(list).to_dict()
+    s = v[ids % 50 == 0] @ v.T
+    s[np.arange(len(s)), np.flatnonzero(ids % 50 == 0)] = -9
+    true = ids[np.argsort(-s, 1)[:, :10]]
+    assert np.mean([len(set(found[q]) & set(t.tolist())) / 10 for q, t in zip(ids[ids % 50 == 0], true)]) >= 0.9
