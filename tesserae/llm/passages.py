@@ -163,15 +163,12 @@ def located(places: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def merged(ranges: str, reach: int):
-    """Sorted ranges (a, b) joined where the next begins at most ``reach`` after the end of the one before."""
-    none = F.array().cast("array<struct<a:int,b:int>>")
-
-    def step(acc, r):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], r["b"]).alias("b"))))
-        return F.when((F.size(acc) > 0) & (r["a"] <= F.get(acc, F.size(acc) - 1)["b"] + reach), joined).otherwise(F.concat(acc, F.array(r)))
-
-    return F.aggregate(ranges, none, step)
+    """Sorted ranges (a, b), none of which lies inside another, joined where the next begins at most ``reach`` after the end of the
+    one before."""
+    all_ = F.col(ranges)
+    opens = F.filter(all_, lambda r, i: (i == 0) | (r["a"] > F.get(all_, i - 1)["b"] + reach))
+    closes = F.filter(all_, lambda r, i: (i == F.size(all_) - 1) | (F.get(all_, i + 1)["a"] > r["b"] + reach))
+    return F.zip_with(opens, closes, lambda o, c: F.struct(o["a"].alias("a"), c["b"].alias("b")))
 
 
 def spans(docs: DataFrame, windows: DataFrame, length: int, id_col: str) -> DataFrame:
