@@ -7,14 +7,18 @@ region, orders and lineitem are typed edges.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import ingest, scoring
-from .functions.text import STOPWORDS, TOKEN, chunks, exact_fold, language, query_tokens
-from .operators import fusion, graph, lexical, lifecycle, masks, stats, vector
+from .functions.text import STOPWORDS, TOKEN, chunks, exact_fold, language, locator, query_terms, query_tokens
+from .operators import adapt, fusion, graph, lexical, lifecycle, masks, projection, retention, scratch, stats, vector
+from .operators.indices import IndexSet
+from .plans import ingest as intake
 from .plans import planner, search
 from .sources.files import clean_origin
 from .streaming import events as streams
@@ -36,7 +40,20 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return scratch.spread(spark, path) if name in ("documents", "pages") else spark.read.parquet(path)
+
+
+_built: dict[tuple[str, str, str], IndexSet] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, what: str = "documents") -> IndexSet:
+    """The stored indices over documents or events, built once for a session and a folder of tables, as searches share them."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _built:
+        projected, blocks = (adapt.documents if what == "documents" else adapt.events)(table(spark, sf_dir, what))
+        _built[key] = IndexSet.build(spark, projected, blocks, f"{scratch.root(spark)}/index-{what}-{uuid.uuid4().hex}", chunked=False)
+    return _built[key]
 
 
 def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,21 +67,29 @@ def _list(words: list[str]) -> str:
 TOKENS = f"tok AS (SELECT doc_id AS id, text, list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda t: length(t) >= 2) AS tokens FROM documents)"
 TERMS = query_tokens(TEXT)
 _T = _list(TERMS)
-BM25 = f"""{TOKENS}, len AS (SELECT id, tokens, len(tokens) AS length FROM tok WHERE len(tokens) > 0),
+def _words(column: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({column}), '{TOKEN}'), lambda t: length(t) >= 2)"
+
+
+BM25 = f"""{TOKENS}, own AS (SELECT id, tokens, {_words("coalesce(source, '')")} AS src, source FROM tok JOIN documents ON doc_id = id),
+len AS (SELECT id, tokens, source, len(tokens) + len(src) AS length FROM own WHERE len(tokens) + len(src) > 0),
 tot AS (SELECT count(*) AS n, avg(length) AS average FROM len),
 p AS (SELECT id, length, t, len(list_filter(tokens, lambda x: x = t)) AS tf FROM len, unnest({_T}) AS u(t)),
 dfs AS (SELECT t, count(*) FILTER (WHERE tf > 0) AS df FROM p GROUP BY t),
-w AS (SELECT t, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM dfs, tot),
+w AS (SELECT t, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM dfs, tot WHERE df > 0),
 ceil AS (SELECT sum(idf * {scoring.K1 + 1} / {scoring.K1 * (1 - scoring.B) + 1}) AS most FROM w),
-bm AS (SELECT id, round(least(1.0, sum(CASE WHEN tf > 0 THEN idf * tf * {scoring.K1 + 1} / (tf + {scoring.K1} * ({1 - scoring.B} + {scoring.B} * length / average)) ELSE 0 END) / any_value(most)), 6) AS score
+bm AS (SELECT id, least(1.0, list_sum(list(CASE WHEN tf > 0 THEN idf * tf * {scoring.K1 + 1} / (tf + {scoring.K1} * ({1 - scoring.B} + {scoring.B} * length / average)) ELSE 0 END ORDER BY t)) / any_value(most)) AS score
   FROM p JOIN w USING (t), tot, ceil GROUP BY id HAVING max(tf) > 0)"""
-HASHED = f"""hs AS (SELECT id, t, count(*) AS c FROM (SELECT id, unnest(tokens) AS t FROM tok) GROUP BY ALL),
-hb AS (SELECT id, CAST(('0x' || substr(sha256(t), 1, 8))::BIGINT % {scoring.DIMS} AS INT) AS bucket,
-  sum(CASE WHEN ('0x' || substr(sha256(t), 10, 1))::BIGINT % 2 = 1 THEN -1.0 ELSE 1.0 END * c) AS x FROM hs GROUP BY ALL HAVING x <> 0),
-hv AS (SELECT id, bucket, round(CAST(x AS DOUBLE) / sqrt(sum(CAST(x * x AS DOUBLE)) OVER (PARTITION BY id)), 6) AS value FROM hb)"""
+_HASH = """hs AS (SELECT id, t, count(*) AS c FROM (SELECT id, unnest({tokens}) AS t FROM {rows}) GROUP BY ALL),
+hb AS (SELECT id, CAST(('0x' || substr(sha256(t), 1, 8))::BIGINT % {dims} AS INT) AS bucket,
+  sum(CASE WHEN ('0x' || substr(sha256(t), 10, 1))::BIGINT % 2 = 1 THEN 1.0 ELSE -1.0 END * c) AS x FROM hs GROUP BY ALL HAVING x <> 0),
+hv AS (SELECT id, bucket, CAST(x AS DOUBLE) / sqrt(sum(CAST(x * x AS DOUBLE)) OVER (PARTITION BY id)) AS value FROM hb)"""
+HASHED = _HASH.format(tokens="tokens", rows="tok", dims=scoring.DIMS)
 _SEQ = " + ".join(f"CAST(contains(lower(text), '{t}') AS INT)" for t in TERMS)
 SEQ = f"seq AS (SELECT id, score FROM (SELECT doc_id AS id, ({_SEQ}) / {float(len(TERMS))} AS score FROM documents) WHERE score > 0)"
-_QV = "{" + ", ".join(f"{b}: {x!r}" for b, x in search.query_vector(TEXT).items()) + "}"
+_QV = "{" + ", ".join(f"{b}: {x!r}" for b, x in enumerate(search.query_vector(TEXT)) if x) + "}"
+COSINE = _HASH.format(tokens="list_concat(src, tokens)", rows="own", dims=scoring.DIMS) + f""", qv AS (SELECT MAP {_QV} AS m),
+hc AS (SELECT id, list_sum(list(value * m[bucket] ORDER BY bucket)) AS score FROM hv, qv WHERE m[bucket] IS NOT NULL GROUP BY id HAVING score > 0)"""
 
 
 # scans and masks
@@ -127,7 +152,7 @@ def facet_conjunction(spark, d):
 
 @query(f"WITH {TOKENS} SELECT id FROM tok WHERE list_has_all(tokens, ['the', 'and'])")
 def tags_contains_all(spark, d):
-    return analysed(spark, d).where(masks.facet_clause("tokens", ["the", "and"], every=True)).select("id")
+    return analysed(spark, d).where(masks.facet_clause("tokens", ["the", "and"], every=True, array=True)).select("id")
 
 
 @query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic >= 0")
@@ -169,15 +194,40 @@ def frequent_terms(spark, d):
     return lexical.frequent_terms(analysed(spark, d))
 
 
-@query(f"WITH {BM25} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 40")
+def _six(rows: DataFrame) -> DataFrame:
+    """Scores to six places, behind all ranking and cutting."""
+    return rows.withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 40")
 def bm25_topk(spark, d):
-    return lexical.term_scan(analysed(spark, d), TEXT).orderBy(F.desc("score"), "id").limit(40)
+    return _six(index(spark, d).term("semantic", query_terms(TEXT)).orderBy(F.desc("score"), "id").limit(40))
 
 
-@query(f"WITH {BM25} SELECT id, score FROM bm WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM bm WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def bm25_masked(spark, d):
     mask = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
-    return lexical.term_scan(analysed(spark, d), TEXT, mask)
+    return _six(index(spark, d).term("semantic", query_terms(TEXT), mask))
+
+
+_BARE = BM25.replace("len(tokens) + len(src)", "len(tokens)")
+
+
+@query(f"WITH {_BARE} SELECT id, round(score, 6) AS score FROM bm")
+def term_scan_unindexed(spark, d):
+    """The same score without an index, by one pass over raw texts: what a search does before anything is built."""
+    return _six(lexical.term_scan(analysed(spark, d), TEXT))
+
+
+@query(f"WITH {TOKENS} SELECT id FROM tok WHERE contains(' ' || array_to_string(tokens, ' ') || ' ', ' of the ')")
+def phrase_indexed(spark, d):
+    return index(spark, d).term("semantic", [], phrase=["x:of", "x:the"]).select("id")
+
+
+@query(f"WITH {TOKENS} SELECT id FROM tok WHERE list_has_any(tokens, ['thing']) AND list_has_any(tokens, ['there'])")
+def term_all_indexed(spark, d):
+    groups = [["t:thing", "x:thing"], ["t:there", "x:there"]]
+    return index(spark, d).term("semantic", [t for g in groups for t in g], groups=groups).select("id")
 
 
 @query(f"WITH {TOKENS} SELECT id FROM tok WHERE list_has_any(tokens, ['the', 'der']) AND list_has_any(tokens, ['and', 'und'])")
@@ -209,47 +259,66 @@ def fold_exact(spark, d):
 # vectors
 
 _Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
-_DOT = "round(greatest(0.0, list_dot_product(embedding::DOUBLE[], {q}::DOUBLE[])), 6)"
+_DOT = "greatest(0.0, list_dot_product(embedding::DOUBLE[], {q}::DOUBLE[]))"
 
 
 def _q0(spark, d):
     return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]]
 
 
-@query(f"SELECT vec_id AS id, {_DOT.format(q=_Q0)} AS score FROM embeddings ORDER BY score DESC, id LIMIT 10")
+@query(f"SELECT id, round(s, 6) AS score FROM (SELECT vec_id AS id, {_DOT.format(q=_Q0)} AS s FROM embeddings ORDER BY s DESC, id LIMIT 10)")
 def cosine_topk(spark, d):
-    return vector.brute_vector(table(spark, d, "embeddings"), _q0(spark, d), 10)
+    return _six(vector.brute_vector(table(spark, d, "embeddings"), _q0(spark, d), 10))
 
 
-@query(f"SELECT vec_id AS id, {_DOT.format(q=_Q0)} AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, id LIMIT 10")
+@query(f"SELECT id, round(s, 6) AS score FROM (SELECT vec_id AS id, {_DOT.format(q=_Q0)} AS s FROM embeddings WHERE label = 3 ORDER BY s DESC, id LIMIT 10)")
 def cosine_masked(spark, d):
     e = table(spark, d, "embeddings")
-    return vector.brute_vector(e, _q0(spark, d), 10, mask=e.where("label = 3").select(F.col("vec_id").alias("id")))
+    return _six(vector.brute_vector(e, _q0(spark, d), 10, mask=e.where("label = 3").select(F.col("vec_id").alias("id"))))
+
+
+@query(f"SELECT id, round(s, 6) AS score FROM (SELECT vec_id AS id, {_DOT.format(q=_Q0)} AS s FROM embeddings) WHERE s >= 0.2")
+def cosine_threshold(spark, d):
+    return _six(vector.brute_vector(table(spark, d, "embeddings"), _q0(spark, d), 0, least=0.2))
+
+
+def _asked(e: DataFrame) -> DataFrame:
+    """The stated queries of a search over all rows: every row whose id is divisible by 50."""
+    return e.where("vec_id % 50 = 0")
 
 
 @query("""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 32)
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT q, id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10""")
 def cosine_probes(spark, d):
     e = table(spark, d, "embeddings")
-    return vector.cosine_join(e, e.where("vec_id < 32"), 10)
+    return vector.cosine_join(e, _asked(e), 10)
 
 
 @query()
 def lsh_ann(spark, d):
     e = table(spark, d, "embeddings")
-    return vector.lsh_search(e, e, 10)
+    return vector.lsh_search(e, _asked(e), 10)
 
 
 @query()
 def recall_curve(spark, d):
     e = table(spark, d, "embeddings")
-    return vector.recall_by_tables(vector.cosine_join(e, e, 10), vector.lsh_pairs(e, e, 10, tables=32), 10, (8, 16, 32))
+    return vector.recall_by_tables(vector.cosine_join(e, _asked(e), 10), vector.lsh_pairs(e, _asked(e), 10, tables=32), 10, (8, 16, 32))
+
+
+@query()
+def pca_2d(spark, d):
+    """The ten nearest of vector 0 and itself in two dimensions."""
+    e = table(spark, d, "embeddings")
+    near = e.join(F.broadcast(vector.brute_vector(e, _q0(spark, d), 10).select(F.col("id").alias("vec_id"))), "vec_id").select("vec_id", "embedding").orderBy("vec_id").toPandas()
+    placed = vector.project_2d(np.stack(near.embedding).astype(float))
+    return spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in zip(near.vec_id, placed)], "id long, x double, y double")
 
 
-@query(f"WITH {TOKENS}, {HASHED} SELECT * FROM hv")
+@query(f"WITH {TOKENS}, {HASHED} SELECT id, bucket, round(value, 6) AS value FROM hv")
 def hashing_embed(spark, d):
-    return vector.hashed_terms(analysed(spark, d))
+    return vector.hashed_terms(analysed(spark, d)).withColumn("value", F.round("value", 6))
 
 
 @query("""WITH h AS (SELECT vec_id % 100 AS block, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score, vec_id // 100 AS chunk FROM embeddings)
@@ -263,54 +332,59 @@ def best_chunk_per_block(spark, d):
 @query()
 def chunk_spans(spark, d):
     c = table(spark, d, "documents").select("doc_id", F.explode(chunks("text")).alias("c"))
-    return c.select("doc_id", "c.position", "c.start", "c.end", F.sha2("c.text", 256).alias("digest"))
+    return c.select("doc_id", "c.position", "c.start", "c.end", locator(F.col("c.position"), F.col("c.start"), F.col("c.end")).alias("locator"), F.sha2("c.text", 256).alias("digest"))
 
 
 # fusion and the tail
 
 _RRF = f"""r AS (SELECT id, 'seq' AS g, row_number() OVER (ORDER BY score DESC, id) AS rank FROM seq UNION ALL
   SELECT id, 'term', row_number() OVER (ORDER BY score DESC, id) FROM bm),
-f AS (SELECT id, round(sum({{w}} / ({scoring.RRF_K} + rank)), 9) AS score FROM r WHERE rank <= 40 GROUP BY id)"""
+g AS (SELECT id, list_sum(list({{w}} / ({scoring.RRF_K} + rank) ORDER BY g)) AS score FROM r WHERE rank <= 40 GROUP BY id),
+f AS (SELECT id, score AS s, round(score, 9) AS score FROM g)"""
 
 
 def _lists(spark, d, k=40):
-    docs = table(spark, d, "documents")
-    return [fusion.ranked(lexical.seq_scan(docs, TEXT), "seq", k), fusion.ranked(lexical.term_scan(lexical.analysed(docs), TEXT), "term", k)]
+    ix = index(spark, d)
+    return [fusion.ranked(ix.scan("semantic", TERMS), "seq", k), fusion.ranked(ix.term("semantic", query_terms(TEXT)), "term", k)]
 
 
-@query(f"WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')} SELECT id, score FROM f ORDER BY score DESC, id LIMIT 10")
+def _nine(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("score", F.round("score", 9)).select("id", "score")
+
+
+@query(f"WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')} SELECT id, score FROM f ORDER BY s DESC, id LIMIT 10")
 def rrf_two_generators(spark, d):
-    return fusion.top(fusion.fuse(_lists(spark, d), {"seq": 1.0, "term": 1.0}), 10).select("id", "score")
+    return _nine(fusion.top(fusion.fuse(_lists(spark, d), {"seq": 1.0, "term": 1.0}), 10))
 
 
-@query(f"WITH {BM25}, {SEQ}, {_RRF.format(w=chr(67) + 'ASE WHEN g = ' + chr(39) + 'term' + chr(39) + ' THEN 0.85 ELSE 0.5 END')} SELECT id, score FROM f ORDER BY score DESC, id LIMIT 10")
+@query(f"WITH {BM25}, {SEQ}, {_RRF.format(w=chr(67) + 'ASE WHEN g = ' + chr(39) + 'term' + chr(39) + ' THEN 0.85 ELSE 0.5 END')} SELECT id, score FROM f ORDER BY s DESC, id LIMIT 10")
 def rrf_weighted_by_intent(spark, d):
-    return fusion.top(fusion.fuse(_lists(spark, d), planner.PROFILES["lexical"][0]), 10).select("id", "score")
+    return _nine(fusion.top(fusion.fuse(_lists(spark, d), planner.PROFILES["lexical"][0]), 10))
 
 
-@query(f"""WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')}, x AS (SELECT id, score FROM f UNION ALL SELECT 5, round(1.0 + 0.5 / 61, 9))
-SELECT id, round(sum(score), 9) AS score FROM x GROUP BY id ORDER BY score DESC, id LIMIT 10""")
+@query(f"""WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')}, x AS (SELECT id, s FROM f UNION ALL SELECT 5, 1.0 + 0.5 / 61)
+SELECT id, round(s, 9) AS score FROM (SELECT id, sum(s) AS s FROM x GROUP BY id) ORDER BY s DESC, id LIMIT 10""")
 def exact_first(spark, d):
     hit = table(spark, d, "documents").where("doc_id = 5").select(F.col("doc_id").alias("id"), F.lit(1.0).alias("score"))
     lists = [*_lists(spark, d), fusion.ranked(hit, "exact", 1, exact=True)]
-    return fusion.top(fusion.fuse(lists, {"seq": 1.0, "term": 1.0}), 10).select("id", "score")
+    return _nine(fusion.top(fusion.fuse(lists, {"seq": 1.0, "term": 1.0}), 10))
 
 
-@query(f"""WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')}, t AS (SELECT id, score FROM f ORDER BY score DESC, id LIMIT 10)
-SELECT id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank, score, printf('%.2f', round_even(score / max(score) OVER (), 2)) AS shown FROM t""")
+@query(f"""WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')}, t AS (SELECT id, s, score FROM f ORDER BY s DESC, id LIMIT 10)
+SELECT id, CAST(row_number() OVER (ORDER BY s DESC, id) AS INT) AS rank, score, printf('%.2f', round_even(s / max(s) OVER (), 2)) AS shown FROM t""")
 def normalize_render(spark, d):
     return fusion.normalised(fusion.top(fusion.fuse(_lists(spark, d), {"seq": 1.0, "term": 1.0}), 10))
 
 
-@query(f"WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')} SELECT id, score FROM f WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY score DESC, id LIMIT 10")
+@query(f"WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')} SELECT id, score FROM f WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY s DESC, id LIMIT 10")
 def accessibility_anti(spark, d):
     gone = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    return fusion.top(fusion.accessible(fusion.fuse(_lists(spark, d), {"seq": 1.0, "term": 1.0}), gone), 10).select("id", "score")
+    return _nine(fusion.top(fusion.accessible(fusion.fuse(_lists(spark, d), {"seq": 1.0, "term": 1.0}), gone), 10))
 
 
-@query(f"WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')} SELECT id, score, (SELECT count(*) FROM f) > 10 AS truncated FROM f ORDER BY score DESC, id LIMIT 10")
+@query(f"WITH {BM25}, {SEQ}, {_RRF.format(w='1.0')} SELECT id, score, (SELECT count(*) FROM f) > 10 AS truncated FROM f ORDER BY s DESC, id LIMIT 10")
 def truncated_flag(spark, d):
-    return fusion.bundle(fusion.fuse(_lists(spark, d), {"seq": 1.0, "term": 1.0}), 10).select("id", "score", "truncated")
+    return fusion.bundle(fusion.fuse(_lists(spark, d), {"seq": 1.0, "term": 1.0}), 10).select("id", F.round("score", 9).alias("score"), "truncated")
 
 
 @query("SELECT 'pages' AS module, page_id AS id FROM pages UNION ALL SELECT 'events', event_id FROM events WHERE event_type = 'click'")
@@ -319,28 +393,119 @@ def merge_modules(spark, d):
     return pages.unionByName(table(spark, d, "events").where("event_type = 'click'").select(F.lit("events").alias("module"), F.col("event_id").alias("id")))
 
 
-@query("SELECT doc_id AS id, 1.0::DOUBLE AS score, 'sha256:' || sha256(text) AS digest FROM documents WHERE doc_id % 5 = 0 AND lang = 'en'")
+@query("SELECT doc_id AS id, 1.0::DOUBLE AS score, 'sha256:' || sha256(text) AS digest FROM documents WHERE lang = 'en'")
 def verify_members(spark, d):
     docs = lifecycle.with_block_id(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("block_id").alias("digest"), F.col("text").cast("binary").alias("data"), "lang")
-    rows = docs.where("id % 5 = 0").select("id", F.lit(1.0).alias("score"))
+    rows = docs.select("id", F.lit(1.0).alias("score"))
     return fusion.verified(rows, docs.where("lang = 'en'"), docs)
 
 
-def _hybrid(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    known = planner.Statistics(blocks=100_000, postings=2_000_000, vectors=2_000)
-    asked = planner.Query(TEXT, mode="auto")
-    kind, _, plans = planner.choose(asked, known)
-    plan = next(p for p in plans if p.generators == ("term", "brute") and p.pool == 40)
-    return search.run(docs, asked, plan, kind)
+def engine(spark, d, what: str = "documents") -> search.Engine:
+    gone = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("block_id"), F.lit(None).cast("long").alias("superseded_by")) if what == "documents" else None
+    return search.Engine(index(spark, d, what), gone)
+
 
+#: Blocks up to which the planner of this query takes the scan: it costs 49.5 a block, indices some 31,000 with what they miss.
+_CROSSOVER = 620
+_TAIL = """t AS (SELECT id, s FROM g WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY s DESC, id LIMIT 10)
+SELECT id, CAST(row_number() OVER (ORDER BY s DESC, id) AS INT) AS rank, round(s, 9) AS score, printf('%.2f', round_even(s / max(s) OVER (), 2)) AS shown FROM t"""
+_FUSED = f"""size AS (SELECT count(*) AS n FROM documents),
+r AS (SELECT id, 'term' AS g, 0.5 AS w, row_number() OVER (ORDER BY score DESC, id) AS rank, 40 AS k FROM {{bm}}, size WHERE n > {_CROSSOVER} UNION ALL
+  SELECT id, 'brute', 0.75, row_number() OVER (ORDER BY score DESC, id), 40 FROM {{hc}}, size WHERE n > {_CROSSOVER} UNION ALL
+  SELECT id, 'seq', 0.5, row_number() OVER (ORDER BY score DESC, id), n FROM {{seq}}, size WHERE n <= {_CROSSOVER}),
+g AS (SELECT id, list_sum(list(w / ({scoring.RRF_K} + rank) ORDER BY g)) AS s FROM r WHERE rank <= k GROUP BY id)"""
 
-@query(f"""WITH {BM25}, {HASHED}, qv AS (SELECT MAP {_QV} AS m),
-hc AS (SELECT id, round(sum(value * m[bucket]), 6) AS score FROM hv, qv WHERE m[bucket] IS NOT NULL GROUP BY id HAVING round(sum(value * m[bucket]), 6) > 0),
-r AS (SELECT id, 0.5 AS w, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm UNION ALL SELECT id, 0.75, row_number() OVER (ORDER BY score DESC, id) FROM hc),
-t AS (SELECT id, round(sum(w / ({scoring.RRF_K} + rank)), 9) AS score FROM r WHERE rank <= 40 GROUP BY id ORDER BY score DESC, id LIMIT 10)
-SELECT id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank, score, printf('%.2f', round_even(score / max(score) OVER (), 2)) AS shown FROM t""")
+
+@query(f"WITH {BM25}, {COSINE}, {SEQ}, {_FUSED.format(bm='bm', hc='hc', seq='seq')}, {_TAIL}")
 def hybrid_search(spark, d):
-    return _hybrid(table(spark, d, "documents"), spark)
+    """The plan that the planner takes on the measured statistics, over stored indices."""
+    return engine(spark, d).search(planner.Query(TEXT)).bundle.select("id", "rank", "score", "shown")
+
+
+_OF = "(SELECT x.* FROM {t} x JOIN documents ON doc_id = id WHERE source = 'src1')"
+
+
+@query(f"WITH {BM25}, {COSINE}, {SEQ}, {_FUSED.format(bm=_OF.format(t='bm'), hc=_OF.format(t='hc'), seq=_OF.format(t='seq'))}, {_TAIL}")
+def search_subject(spark, d):
+    """A filter is a mask before the generators and is checked again on the blocks."""
+    return engine(spark, d).search(planner.Query(TEXT, planner.Filters(subject="src1"))).bundle.select("id", "rank", "score", "shown")
+
+
+@query("""SELECT event_id AS id, CAST(row_number() OVER (ORDER BY event_id) AS INT) AS rank, round(1.0 / (60 + row_number() OVER (ORDER BY event_id)), 9) AS score, (SELECT count(*) FROM events WHERE event_type = 'click' AND ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-20') > 20 AS truncated
+FROM events WHERE event_type = 'click' AND ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-20' ORDER BY event_id LIMIT 20""")
+def search_navigational(spark, d):
+    """Filters without text: a listing of what the tag and the window admit."""
+    f = planner.Filters(tags=("click",), since="2024-01-02T00:00:00.000000", until="2024-01-20T00:00:00.000000")
+    return engine(spark, d, "events").search(planner.Query("", f, limit=20)).bundle.select("id", "rank", "score", "truncated")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE sha256(text) = (SELECT sha256(text) FROM documents WHERE doc_id = 7) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def search_digest(spark, d):
+    """A digest as text: exact hits lead by one."""
+    digest = table(spark, d, "documents").where("doc_id = 7").select(F.sha2("text", 256)).first()[0]
+    return engine(spark, d).search(planner.Query(f"sha256:{digest}", limit=50)).bundle.where("score >= 1").select("id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE lang = 'de' AND source = 'src2' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY doc_id LIMIT 30")
+def search_residual(spark, d):
+    """Evidence is no facet: the filter runs on the blocks themselves, before the cut."""
+    f = planner.Filters(subject="src2", evidence=("de",))
+    return engine(spark, d).search(planner.Query("", f, limit=30)).bundle.select("id")
+
+
+@query()
+def search_associative(spark, d):
+    """Expansion from the fused hits over the evidence edges; languages aren't installed blocks, so it adds none."""
+    return engine(spark, d).search(planner.Query(TEXT, mode="associative", depth=2)).bundle.select("id", "rank", "score", "shown")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM documents), t AS (SELECT DISTINCT doc_id, unnest(list_concat(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:_[\p{L}\p{N}]+)*'), lambda t: length(t) >= 2), [source])) AS t FROM documents)
+SELECT 'bitmap' AS index, 'semantic' AS memory_type, 2 * n AS n FROM n UNION ALL SELECT 'btree', 'semantic', n FROM n UNION ALL SELECT 'graph', 'semantic', n FROM n UNION ALL SELECT 'vector', 'semantic', n FROM n
+UNION ALL SELECT 'inverted', 'semantic', 2 * count(*) FROM t""")
+def index_report(spark, d):
+    return index(spark, d).report()
+
+
+@query("SELECT 'subject' AS key, source AS value, doc_id AS block_id FROM documents UNION ALL SELECT 'has_evidence', 'yes', doc_id FROM documents")
+def index_facets(spark, d):
+    return index(spark, d)["facets"].select("key", "value", "block_id")
+
+
+@query("SELECT event_id AS block_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS value FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-11'")
+def index_ordered_keys(spark, d):
+    keys = index(spark, d, "events")["keys"].where("key = 'occurred_at'")
+    return masks.range_scan(keys, "value", "2024-01-10T00:00:00.000000", "2024-01-11T00:00:00.000000").select("block_id", "value")
+
+
+@query("SELECT doc_id AS src, lang AS dst, 'evidence' AS kind, 1.0::DOUBLE AS weight FROM documents")
+def index_edges(spark, d):
+    return index(spark, d)["edges"].select("src", "dst", "kind", "weight")
+
+
+@query(f"WITH {BM25}, {COSINE} SELECT id, round(score, 6) AS score FROM hc")
+def index_vectors(spark, d):
+    return _six(index(spark, d).vectors("semantic", search.query_vector(TEXT)))
+
+
+@query(f"WITH {TOKENS} SELECT term, count(DISTINCT id) AS df, count(*) AS occurrences FROM (SELECT id, unnest(tokens) AS term FROM tok UNION ALL SELECT doc_id, unnest({_words('source')}) FROM documents) GROUP BY term")
+def index_terms(spark, d):
+    rows = index(spark, d)["terms"].where("term like 'x:%'")
+    return rows.select(F.substring("term", 3, 1_000_000).alias("term"), "df", "occurrences")
+
+
+@query()
+def explain_plans(spark, d):
+    """What the planner considered for the flagship query."""
+    said = engine(spark, d).explain(planner.Query(TEXT))
+    rows = [(r["signature"], "+".join(r["generators"]), r["pool"], r["cost_us"], r["recall"], r["feasible"], r["signature"] == said["chosen"]["signature"]) for r in said["considered"]]
+    return spark.createDataFrame(rows, "signature string, generators string, pool int, cost_us double, recall double, feasible boolean, chosen boolean")
+
+
+@query()
+def analyze_operators(spark, d):
+    """Estimated and actual rows of the operators of the plan taken."""
+    said = engine(spark, d).explain(planner.Query(TEXT), analyse=True)
+    return spark.createDataFrame([(o["op"], o["est_rows"], o["act_rows"]) for o in said["operators"]], "op string, est_rows long, act_rows long")
 
 
 # graph
@@ -372,6 +537,11 @@ def _seeds(spark, d):
     return edges(spark, d).where("kind = 'placed_by'").select(F.col("src").alias("id"))
 
 
+def _hops(spark, d, depth: int) -> DataFrame:
+    saved = scratch.saved(edges(spark, d), "edges")  # read in every hop
+    return graph.expand(saved, _seeds(spark, d), depth).withColumn("score", F.round("score", 9))
+
+
 @query(f"WITH {EDGES} SELECT dst AS id, kind, weight FROM e WHERE src IN ('c:1', 'n:3', 'o:5')")
 def neighbours_out(spark, d):
     return graph.neighbours(edges(spark, d), ["c:1", "n:3", "o:5"])
@@ -384,12 +554,17 @@ def neighbours_in(spark, d):
 
 @query(_walk(1))
 def expand_depth1(spark, d):
-    return graph.expand(edges(spark, d), _seeds(spark, d), 1)
+    return _hops(spark, d, 1)
+
+
+@query(_walk(2))
+def expand_depth2(spark, d):
+    return _hops(spark, d, 2)
 
 
 @query(_walk(3))
 def expand_depth3(spark, d):
-    return graph.expand(edges(spark, d), _seeds(spark, d), 3)
+    return _hops(spark, d, 3)
 
 
 @query(f"""WITH {EDGES}, s AS (SELECT DISTINCT src AS id FROM e WHERE kind = 'lives_in'), a AS (SELECT dst AS id, round(max(weight * 0.5), 9) AS score FROM e JOIN s ON src = s.id WHERE kind = 'lives_in' GROUP BY dst)
@@ -397,7 +572,21 @@ SELECT id, score, 1 AS depth FROM a""")
 def federated_expand(spark, d):
     e = edges(spark, d)
     seeds = e.where("kind = 'lives_in'").select(F.col("src").alias("id"))
-    return graph.federated([e.where("kind = 'lives_in'"), e.where("kind = 'part_of'")], seeds, 2)
+    return graph.federated([e.where("kind = 'lives_in'"), e.where("kind = 'part_of'")], seeds, 2).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH {EDGES} SELECT id, round(max(score), 9) AS score, min(depth) AS depth FROM (
+  SELECT src AS id, weight * 0.5 AS score, 1 AS depth FROM e WHERE dst = 'r:1' AND kind = 'part_of' UNION ALL
+  SELECT b.src, a.weight * 0.5 * b.weight * 0.5, 2 FROM e a JOIN e b ON b.dst = a.src WHERE a.dst = 'r:1' AND a.kind = 'part_of' AND b.kind = 'lives_in') GROUP BY id ORDER BY score DESC, id LIMIT 80""")
+def expand_inbound(spark, d):
+    """Backwards over two kinds of edges, the best 80."""
+    e = scratch.saved(edges(spark, d), "edges")
+    return graph.expand(e, spark.createDataFrame([("r:1",)], "id string"), 2, inbound=True, kinds=["part_of", "lives_in"], most=80).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH {EDGES}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT round((SELECT count(*) FROM e) / (SELECT count(*) FROM n), 6) AS density""")
+def graph_density(spark, d):
+    return graph.density(edges(spark, d))
 
 
 @query(f"""WITH {EDGES}, n AS (SELECT src AS id, 1 AS o FROM e UNION ALL SELECT dst, 0 FROM e), p AS (SELECT id, sum(o) AS d FROM n GROUP BY id)
@@ -406,11 +595,13 @@ def degree_stats(spark, d):
     return graph.degrees(edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT DISTINCT src AS start, src AS id, 0 AS depth FROM e WHERE kind = 'placed_by' UNION SELECT start, dst, depth + 1 FROM w JOIN e ON id = src WHERE depth < 3),
+@query(f"""WITH RECURSIVE {EDGES}, st AS (SELECT DISTINCT src AS id FROM e WHERE kind = 'placed_by' ORDER BY md5(src), src LIMIT 128),
+w AS (SELECT id AS start, id, 0 AS depth FROM st UNION SELECT start, dst, depth + 1 FROM w JOIN e ON id = src WHERE depth < 3),
 k AS (SELECT start, id, min(depth) AS depth FROM w WHERE id <> start GROUP BY ALL), n AS (SELECT count(DISTINCT start) AS n FROM w)
 SELECT CAST(h AS INT) AS depth, round(count(*) FILTER (WHERE k.depth <= h) / any_value(n), 6) AS reach FROM k, n, range(1, 4) AS t(h) GROUP BY h""")
 def reach_by_depth(spark, d):
-    return graph.reach(edges(spark, d), _seeds(spark, d), 3)
+    """From 128 sampled starts: the sample is the feature."""
+    return graph.reach(scratch.saved(edges(spark, d), "edges"), graph.sampled(_seeds(spark, d)), 3)
 
 
 @query(f"WITH {EDGES} SELECT kind, count(*) AS n FROM e GROUP BY kind")
@@ -438,11 +629,32 @@ def column_stats_top32(spark, d):
 
 
 @query("""WITH o AS (SELECT o_totalprice AS k, row_number() OVER (ORDER BY o_totalprice) - 1 AS r, count(*) OVER () AS n FROM orders)
-SELECT CAST(r // greatest(1, n // 32) AS INT) AS bucket, min(k) AS low, count(*) AS count FROM o GROUP BY 1""")
+SELECT bucket, low, coalesce(lead(low) OVER (ORDER BY bucket), top) AS high, count FROM (SELECT CAST(r // greatest(1, n // 32) AS INT) AS bucket, min(k) AS low, max(k) AS top, count(*) AS count FROM o GROUP BY 1)""")
 def equi_depth_histogram(spark, d):
     return stats.histogram(table(spark, d, "orders"), "o_totalprice")
 
 
+@query("""WITH c AS (SELECT source AS value, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, source) AS place FROM documents GROUP BY source)
+SELECT value, CASE WHEN place <= 8 THEN c ELSE least((SELECT sum(c) FROM c), greatest(1, (SELECT sum(c) FILTER (WHERE place > 8) // greatest(1, count(*) - 8) FROM c))) END::BIGINT AS rows, place <= 8 AS exact, c AS measured FROM c WHERE value IN ('src0', 'src3', 'src7', 'src12', 'src19')""")
+def selectivity_estimate(spark, d):
+    return stats.selectivity(table(spark, d, "documents"), "source", ["src0", "src3", "src7", "src12", "src19"], 8)
+
+
+@query("SELECT 'lang' AS facet, count(DISTINCT lang) AS distinct, count(*) FILTER (WHERE lang IS NULL) AS nulls, count(DISTINCT lang) > 8 AS truncated FROM documents UNION ALL SELECT 'source', count(DISTINCT source), count(*) FILTER (WHERE source IS NULL), count(DISTINCT source) > 8 FROM documents")
+def column_statistics(spark, d):
+    return stats.column_statistics(table(spark, d, "documents"), ["lang", "source"], 8)
+
+
+@query("SELECT count(*) AS n, round(avg(n_chars) FILTER (WHERE n_chars > 0), 6) AS average FROM documents")
+def cardinality_bytes(spark, d):
+    return stats.cardinality(table(spark, d, "documents"), "n_chars")
+
+
+@query(f"WITH {TOKENS}, c AS (SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(tokens) AS term FROM tok) GROUP BY term), k AS (SELECT *, row_number() OVER (ORDER BY df DESC, term) AS place FROM c) SELECT count(*) AS terms, coalesce(max(df), 0) AS most FROM k WHERE place > 1000")
+def term_tail(spark, d):
+    return stats.term_statistics(lexical.document_frequencies(analysed(spark, d)), 1000)[1]
+
+
 @query("SELECT min(ts) AS low, max(ts) AS high, count(*) AS n FROM events")
 def time_min_max(spark, d):
     return table(spark, d, "events").agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.count("ts").alias("n"))
@@ -467,9 +679,9 @@ def latency_percentiles_nearest_rank(spark, d):
 # ingest
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') || chr(10) AS text FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') || chr(10) AS text FROM (SELECT doc_id, nfc_normalize(text) AS text FROM documents)")
 def normalize_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", ingest.plain(F.col("text")).alias("text"))
+    return table(spark, d, "documents").select("doc_id", ingest.plain("text").alias("text"))
 
 
 @query()
@@ -477,7 +689,42 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", ingest.html_text("html").alias("text"))
 
 
-@query("SELECT event_id, CAST(json(props) AS VARCHAR) AS props FROM events")
+@query("""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:title|desc|text|tspan)\\b[^>]*>(.*?)</(?:title|desc|text|tspan)>', 1),
+  lambda t: trim(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))), lambda t: t <> ''), chr(10)) || chr(10) AS text FROM pages""")
+def svg_text(spark, d):
+    return table(spark, d, "pages").select("page_id", ingest.svg_text("html").alias("text"))
+
+
+@query("SELECT doc_id, source AS heading, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body, 1 AS first, CAST(2 + len(string_split(text, chr(10))) AS INT) AS last FROM documents WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
+def sections(spark, d):
+    """Each document under a heading of its source, as there are no headings in the tables."""
+    text = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.col("text"))
+    s = table(spark, d, "documents").select("doc_id", F.explode(ingest.sections(text)).alias("s"))
+    return s.select("doc_id", "s.heading", "s.body", "s.first", "s.last")
+
+
+def _proposed(spark, d):
+    text = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.col("text"))
+    return table(spark, d, "documents").select("doc_id", text.alias("text"))
+
+
+@query("""SELECT doc_id AS source, source AS label, left(b, 4000) AS statement, CASE WHEN length(b) > 4000 THEN '0.90' ELSE '1.00' END AS confidence, 'lines:1-' || (2 + len(string_split(text, chr(10)))) AS locator
+FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b FROM documents) WHERE b <> ''""")
+def propose_structure(spark, d):
+    return ingest.proposals(_proposed(spark, d)).select("source", "label", "statement", "confidence", "locator")
+
+
+@query("""WITH p AS (SELECT DISTINCT sha256('# ' || source || text) AS h, left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 4000) AS b FROM documents) SELECT 'validated' AS status, count(*) AS n FROM p WHERE b <> ''""")
+def ingest_run(spark, d):
+    """Registration, normalized view, proposal, validation and commit over the documents as Markdown."""
+    items = _proposed(spark, d).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("origin"), F.lit("text/markdown").alias("media_type"), F.col("text").cast("binary").alias("data"))
+    items = items.withColumn("digest", F.concat(F.lit("sha256:"), F.sha2("data", 256)))
+    none = spark.createDataFrame([], "block_id string, label string, statement string")
+    done = intake.run(spark, items, none.select("block_id"), none, intake.Task("documents"))
+    return done.committed.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, '{' || chr(10) || array_to_string(list_transform(list_sort(json_keys(props)), lambda k: '  "' || k || '": ' || json_extract(props, '$.' || k)), ',' || chr(10)) || chr(10) || '}' || chr(10) AS props FROM events""")
 def json_canonical(spark, d):
     return table(spark, d, "events").select("event_id", ingest.canonical_json("props").alias("props"))
 
@@ -507,6 +754,23 @@ def pull_outcomes(spark, d):
     return out.select("page_id", "outcome")
 
 
+@query("""WITH p AS (SELECT lpad(CAST(page_id AS VARCHAR), 12, '0') AS origin, page_id, sha256(html) AS digest FROM pages),
+s AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 'skipped' WHEN digest IN (SELECT digest FROM p WHERE page_id % 7 = 3) THEN 'skipped' WHEN digest IN (SELECT digest FROM p WHERE page_id % 3 = 0) THEN 'duplicate' ELSE 'registered' END AS o FROM p),
+r AS (SELECT *, CASE WHEN o = 'registered' AND origin <> min(origin) FILTER (WHERE o = 'registered') OVER (PARTITION BY digest) THEN 'duplicate' ELSE o END AS o2 FROM s),
+l AS (SELECT origin FROM r WHERE o2 = 'registered' ORDER BY origin OFFSET 9 LIMIT 1)
+SELECT page_id, CASE WHEN origin > (SELECT origin FROM l) THEN 'not-reached' ELSE o2 END AS outcome FROM r""")
+def pull_limited(spark, d):
+    """A pull that ends with the tenth registration."""
+    p = table(spark, d, "pages").select("page_id", F.lpad(F.col("page_id").cast("string"), 12, "0").alias("origin"), F.lit("text/html").alias("media_type"), F.sha2("html", 256).alias("digest"))
+    return intake.pull(p, p.where("page_id % 3 = 0"), p.where("page_id % 7 = 3").select("digest"), limit=10).select("page_id", "outcome")
+
+
+@query("""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN page_id % 2 = 0 THEN 'skipped' ELSE 'would-fetch' END AS outcome FROM pages) GROUP BY outcome""")
+def pull_dry_run(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("origin"), F.lit("text/html").alias("media_type"), F.sha2("html", 256).alias("digest"))
+    return intake.outcome_counts(intake.pull(p, p.where("page_id % 2 = 0"), p.limit(0).select("digest"), dry_run=True))
+
+
 @query()
 def page_origins(spark, d):
     return table(spark, d, "pages").groupBy(clean_origin(F.col("url")).alias("origin")).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
@@ -534,6 +798,74 @@ def drop_composition(spark, d):
     return members.join(graph.closure(edges(spark, d), spark.createDataFrame([("n:3",)], "id string")), "id", "left_anti")
 
 
+@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT 'n:3' AS id UNION SELECT src FROM c JOIN e ON dst = id), m AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT count(*) AS dropped, count(*) - 1 AS dependants, count(*) - 1 > 25 AS needs_review FROM c JOIN m USING (id)""")
+def drop_plan(spark, d):
+    """What a drop would take with it, and whether that needs review."""
+    e = edges(spark, d)
+    members = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    told = retention.plan_drop(e, members, spark.createDataFrame([("n:3",)], "id string"))[1]
+    return spark.createDataFrame([(told["dropped"], told["dependants"], told["needs_review"])], "dropped long, dependants long, needs_review boolean")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE NOT (source = 'src1' AND lang = 'en')")
+def drop_by_producer(spark, d):
+    """Each source is taken for a producer, each language for its version."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", "lang")
+    made = docs.select(F.col("id").alias("block_id"), F.col("source").alias("producer_id"), F.lit("model").alias("producer_kind"), F.col("lang").alias("producer_version"))
+    none = spark.createDataFrame([], "src string, dst string")
+    return retention.drop_by_producer(none, docs.select("id", F.lit("semantic").alias("memory_type")), made, "src1", version="en").select("id")
+
+
+@query("""SELECT 'members' AS "check", count(*) AS n FROM documents UNION ALL SELECT 'missing', count(*) FROM documents WHERE source = 'src1' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source <> 'src1') AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'es')
+UNION ALL SELECT 'corrupt', 0 UNION ALL SELECT 'unindexed', count(*) FROM documents WHERE lang = 'fr' UNION ALL SELECT 'foreign', 0""")
+def doctor(spark, d):
+    docs = lifecycle.with_block_id(table(spark, d, "documents"), name="digest").select(F.col("doc_id").alias("id"), "digest", "lang", "source", F.col("text").cast("binary").alias("data"))
+    blobs = docs.where("source <> 'src1'").select("digest", "data").dropDuplicates(["digest"])
+    return retention.doctor(docs, blobs, docs.where("lang = 'es'").select("digest").distinct(), docs.where("lang <> 'fr'").select("id"))
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 5 = 0) AS added, count(*) FILTER (WHERE doc_id % 5 = 1) AS removed FROM documents")
+def local_work(spark, d):
+    base, ours, _ = _histories(spark, d)
+    return retention.local_work(base, ours, "doc_id")
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 5 = 0) AS added, count(*) FILTER (WHERE doc_id % 5 = 1) AS removed, count(*) FILTER (WHERE doc_id % 5 > 1) AS unchanged, false AS noop, false AS rebuild FROM documents")
+def build_delta_summary(spark, d):
+    base, ours, _ = _histories(spark, d)
+    return lifecycle.delta_summary(lifecycle.delta(base, ours, "doc_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 IN (0, 3, 4) OR doc_id % 5 = 1")
+def reconcile_landed(spark, d):
+    """Verdicts keep what ours removed and let go what theirs removed."""
+    base, ours, theirs = _histories(spark, d)
+    cut = lifecycle.conflicts(base, ours, theirs, "doc_id")
+    done = retention.land(base, ours, theirs, "doc_id", "rebase", verdicts=cut.select("doc_id", (F.col("side") == "ours").alias("keep")))
+    return done.members if done.status == "done" else done.members.limit(0)
+
+
+@query()
+def merkle_root(spark, d):
+    """Root over the digests of the documents, by tables, with the number of levels."""
+    levels = lifecycle.merkle_tables(lifecycle.with_block_id(table(spark, d, "documents"), name="id").select("id").distinct())
+    return spark.createDataFrame([(lifecycle.merkle_root_of(levels), len(levels))], "root string, levels int")
+
+
+@query("SELECT page_id FROM pages WHERE sha256(html) = (SELECT sha256(html) FROM pages WHERE page_id = 3)")
+def related_records(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("sha256:"), F.sha2("html", 256)).alias("block"))
+    records = pages.select("page_id", F.to_json(F.struct(F.struct("block").alias("subject"))).alias("record"))
+    return projection.related(records, pages.where("page_id = 3").first().block).select("page_id")
+
+
+@query("SELECT sha256(text) AS key FROM documents WHERE lang = 'en' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'fr') GROUP BY 1")
+def cache_missing(spark, d):
+    """Texts whose vectors the cache lacks, once each."""
+    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("key"), "lang")
+    return projection.uncached(docs.where("lang = 'en'").select("key"), docs.where("lang = 'fr'").select("key").distinct())
+
+
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def supersede_accessibility(spark, d):
     gone = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,7 +12,13 @@ K1, B, RRF_K, DIMS = 1.2, 0.75, 60, 256
 
 
 def idf(n: Column, df: Column) -> Column:
-    return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
+    """0 for a term that stands nowhere: it takes no part, in the best possible score neither."""
+    return F.when(df > 0, F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))).otherwise(0.0)
+
+
+def idf_of(n: int, df: int) -> float:
+    """The same on the driver."""
+    return float(np.log(1.0 + (n - df + 0.5) / (df + 0.5)))
 
 
 def bm25(tf: Column, length: Column, average: Column, weight: Column) -> Column:
@@ -43,9 +51,42 @@ def hash_bucket(token: Column, dims: int = DIMS) -> Column:
 
 
 def hash_sign(token: Column) -> Column:
-    """+1 or -1 by the parity of the fifth byte of the digest: +1 where it is even."""
+    """+1 or -1 by the parity of the fifth byte of the digest: +1 where it is odd."""
     odd = F.conv(F.substring(F.sha2(token, 256), 10, 1), 16, 10).cast("int") % 2
-    return F.when(odd == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return F.when(odd == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
+def hashed(token: str, dims: int = DIMS) -> tuple[int, float]:
+    """(bucket, sign) of a token, as the Column forms give them."""
+    h = hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest()
+    return int.from_bytes(h[:4], "big") % dims, 1.0 if h[4] % 2 else -1.0
+
+
+class Hashed(dict):
+    """token -> (bucket, sign), filled on demand and emptied once it holds many."""
+
+    def __missing__(self, token: str) -> tuple[int, float]:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = found = hashed(token)
+        return found
+
+
+def hashing_vector(words: list[str], known: Hashed | None = None, dims: int = DIMS) -> np.ndarray:
+    """The unit vector of the signed counts of hashed words; without words the zero vector."""
+    known, out = Hashed() if known is None else known, np.zeros(dims)
+    for w in words:
+        bucket, sign = known[w]
+        out[bucket] += sign
+    norm = np.sqrt((out * out).sum())
+    return out / norm if norm else out
+
+
+def seeded_vector(seed: str, dims: int = 32) -> np.ndarray:
+    """A unit vector that a string alone determines, for tests: signed 16-bit big-endian words of SHA-256 over seed#counter."""
+    data = b"".join(hashlib.sha256(f"{seed}#{i}".encode()).digest() for i in range(-(-dims // 16)))
+    raw = np.frombuffer(data, ">i2")[:dims] / 32768.0
+    return raw / np.sqrt((raw * raw).sum())
 
 
 def cache_key(tag: Column, space: Column, role: Column, text: Column) -> Column:

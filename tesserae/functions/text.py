@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +31,11 @@ def mapped(f, kind: str):
     return lambda column: F.pandas_udf(series, kind)(column)
 
 
+def normalize(text: Column | str) -> Column:
+    """NFKC and case fold, the exact form of what ``tokens`` lowers."""
+    return mapped(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold(), "string")(text)
+
+
 def exact_fold(text: Column | str) -> Column:
     """NFKC, case fold and strip: the exact key form where the input isn't normalised."""
     return mapped(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold().strip(), "string")(text)
@@ -54,36 +60,68 @@ def stem(token: str, lang: str) -> str:
 
 def query_tokens(text: str) -> list[str]:
     """Tokens of a query without function words, in order and once each; a query of function words alone keeps them."""
-    import regex
+    return list(dict.fromkeys(_content(analyse(text), None)[0]))
+
+
+def analyse(text: str) -> list[str]:
+    """Tokens of a text on the driver, as ``tokens`` gives them."""
+    return [t for t in regex.findall(TOKEN, text.lower()) if len(t) >= 2]
 
-    found = [t for t in regex.findall(TOKEN, text.lower()) if len(t) >= 2]
+
+def _content(found: list[str], lang: str | None) -> tuple[list[str], list[str]]:
+    """(content tokens, languages to stem in). Without a function word nothing tells the language, so both are taken."""
     hits = {k: sum(t in v for t in found) for k, v in STOPWORDS.items()}
-    stop = STOPWORDS["es" if hits["es"] > hits["en"] else "en"]
-    return list(dict.fromkeys([t for t in found if t not in stop] or found))
-
-
-def chunk_spans(text: str | None, size: int = 1600, overlap: int = 200) -> list[tuple[int, int, int]]:
-    """(position, start, end): pieces of at most ``size`` characters that share ``overlap``; a piece ends at the last
-    paragraph, sentence, line or word boundary of its last ``overlap`` characters, where there is one."""
-    out, start, n = [], 0, len(text or "")
-    while start < n:
-        end = min(n, start + size)
-        if end < n:
-            for mark in ("\n\n", ". ", "\n", " "):
-                at = text.rfind(mark, end - overlap, end)
-                if at > start:
-                    end = at + len(mark)
-                    break
-        out.append((len(out), start, end))
-        if end >= n:
+    if lang in STOPWORDS:
+        langs = [lang]
+    else:
+        guess = "es" if hits["es"] > hits["en"] else "en"
+        langs = [guess] if hits[guess] else ["en", "es"]
+    return [t for t in found if t not in STOPWORDS[langs[0]]] or found, langs
+
+
+def query_terms(text: str, lang: str | None = None) -> list[str]:
+    """The terms of a query in both spaces, stems (t:) and raw tokens (x:), once each."""
+    content, langs = _content(analyse(text), lang)
+    return list(dict.fromkeys(term for t in content for term in [*(f"t:{stem(t, x)}" for x in langs), f"x:{t}"]))
+
+
+def query_groups(text: str, lang: str | None = None) -> list[list[str]]:
+    """The same terms, one group for each token: ALL asks for one of every group."""
+    content, langs = _content(analyse(text), lang)
+    return [list(dict.fromkeys([*(f"t:{stem(t, x)}" for x in langs), f"x:{t}"])) for t in content]
+
+
+def phrase_terms(text: str) -> list[str]:
+    """The raw tokens of a phrase in order, function words too."""
+    return [f"x:{t}" for t in analyse(text)]
+
+
+#: Where a chunk may end, best first.
+MARKS = ("\n\n", ". ", "\n", " ")
+
+
+def chunk_spans(text: str | None, size: int = 1600, overlap: int = 200) -> list[tuple[int, int, int, str]]:
+    """(position, start, end, piece) of the trimmed text: pieces of at most ``size`` characters, trimmed, that share ``overlap``;
+    one ends behind the best mark in its last ``overlap`` characters, where there is one."""
+    body = (text or "").strip()
+    out, at = [], 0
+    while at < len(body):
+        stop = min(len(body), at + size)
+        if stop < len(body):
+            low = max(at, stop - overlap)
+            cuts = ((body.rfind(m, low, stop), m) for m in MARKS)
+            stop = next((cut + len(m) for cut, m in cuts if cut > low), stop)
+        if piece := body[at:stop].strip():
+            out.append((len(out), at, stop, piece))
+        if stop >= len(body):
             break
-        start = max(end - overlap, start + 1)
+        at = stop - overlap
     return out
 
 
 def chunks(text: Column | str) -> Column:
     """Array of (position, start, end, text)"""
-    pieces = lambda t: [{"position": p, "start": a, "end": b, "text": t[a:b]} for p, a, b in chunk_spans(t)]
+    pieces = lambda t: [{"position": p, "start": a, "end": b, "text": x} for p, a, b, x in chunk_spans(t)]
     return mapped(pieces, "array<struct<position:int,start:int,end:int,text:string>>")(text)
 
 

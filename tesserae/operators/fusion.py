@@ -17,16 +17,18 @@ def ranked(rows: DataFrame, generator: str, k: int, depth: int = 0, exact: bool
 
 def fuse(lists: list[DataFrame], weights: dict[str, float], default: float = 0.5) -> DataFrame:
     """(id, score, depth, exact): weighted reciprocal ranks of all lists; one generator counts by its best rank; +1 for an
-    exact hit; halved for every hop of depth."""
+    exact hit; halved for every hop of depth. Parts are added in the order of the generators' names, so the full value is the
+    same in every run, and ranking goes by the full value."""
     rows = lists[0]
     for x in lists[1:]:
         rows = rows.unionByName(x)
     per = rows.groupBy("id", "generator").agg(F.min("rank").alias("rank"), F.min("depth").alias("depth"), F.max("exact").alias("exact"))
     weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("generator")), F.lit(default)) if weights else F.lit(default)
-    part = scoring.reciprocal_rank(F.col("rank"), weight)
-    out = per.groupBy("id").agg(F.sum(part).alias("s"), F.min("depth").alias("depth"), F.max("exact").alias("exact"))
-    score = F.col("s") * F.pow(F.lit(0.5), F.col("depth")) + F.when(F.col("exact"), 1.0).otherwise(0.0)
-    return out.select("id", F.round(score, 9).alias("score"), "depth", "exact")
+    part = F.struct("generator", scoring.reciprocal_rank(F.col("rank"), weight).alias("x"))
+    out = per.groupBy("id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.min("depth").alias("depth"), F.max("exact").alias("exact"))
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["x"])
+    score = total * F.pow(F.lit(0.5), F.col("depth")) + F.when(F.col("exact"), 1.0).otherwise(0.0)
+    return out.select("id", score.alias("score"), "depth", "exact")
 
 
 def accessible(rows: DataFrame, superseded: DataFrame, include: bool = False) -> DataFrame:
@@ -38,9 +40,9 @@ def top(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def normalised(rows: DataFrame) -> DataFrame:
-    """Scores over the best one, rendered."""
+    """Scores over the best one, rendered; the full score is shown to 9 places."""
     best = F.max("score").over(Window.partitionBy())
-    return rows.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "depth", "id")).alias("rank"), "score", scoring.render(F.col("score") / best).alias("shown"))
+    return rows.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "depth", "id")).alias("rank"), F.round("score", 9).alias("score"), scoring.render(F.col("score") / best).alias("shown"))
 
 
 def verified(rows: DataFrame, members: DataFrame, blobs: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -16,7 +19,16 @@ def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def postings(docs: DataFrame) -> DataFrame:
     """(term, id, tf)"""
-    return docs.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select("id", F.explode(counted("tokens")).alias("p")).select("p.term", "id", "p.tf")
+
+
+def counted(tokens: Column | str) -> Column:
+    """Array of (term, tf) of an array of tokens: counted inside each text, so no text is shuffled for it."""
+
+    def count(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [{"term": t, "tf": n} for t, n in Counter(v).items()])
+
+    return F.pandas_udf(count, "array<struct<term:string,tf:bigint>>")(tokens)
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -57,7 +69,7 @@ def term_scan(docs: DataFrame, query: str, mask: DataFrame | None = None) -> Dat
         part = scoring.bm25(F.col(f"tf{i}"), F.col("length"), F.col("average"), weight)
         total, most = total + F.when(F.col(f"tf{i}") > 0, part).otherwise(none), most + scoring.bm25_ceiling(weight)
     hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    return scored.where(hit).select("id", F.round(F.least(F.lit(1.0), total / most), 6).alias("score"))
+    return scored.where(hit).select("id", F.least(F.lit(1.0), F.when(most > 0, total / most).otherwise(0.0)).alias("score"))
 
 
 def seq_scan(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,12 +82,12 @@ def seq_scan(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str
 
 
 def phrase(docs: DataFrame, words: list[str]) -> DataFrame:
-    """Ids of the texts with these tokens in a row: a join of positions on neighbours, one for each further word."""
-    at = positions(docs).where(F.col("term").isin(words))
-    out = at.where(F.col("term") == words[0]).select("id", "pos")
-    for i, w in enumerate(words[1:], 1):
-        out = out.join(at.where(F.col("term") == w).select("id", (F.col("pos") - i).alias("pos")), ["id", "pos"], "left_semi")
-    return out.select("id").distinct()
+    """Ids of the texts with these tokens in a row, matched inside each text: nothing is shuffled."""
+    held = F.array_contains("tokens", words[0])
+    for w in words[1:]:
+        held = held & F.array_contains("tokens", w)
+    spaced = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
+    return docs.where(held & F.contains(spaced, F.lit(f" {' '.join(words)} "))).select("id")
 
 
 def all_groups(docs: DataFrame, groups: list[list[str]]) -> DataFrame:

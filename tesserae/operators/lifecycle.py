@@ -7,6 +7,9 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import saved
+from .stats import numbered
+
 
 def with_block_id(docs: DataFrame, text_col: str = "text", name: str = "block_id") -> DataFrame:
     return docs.withColumn(name, F.concat(F.lit("sha256:"), F.sha2(F.col(text_col), 256)))
@@ -34,6 +37,14 @@ def delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return a.join(b, F.col("a") == F.col("b"), "full_outer").select(F.coalesce("a", "b").alias(key), change.alias("change"))
 
 
+def delta_summary(changes: DataFrame) -> DataFrame:
+    """(added, removed, unchanged, noop, rebuild): nothing to do, or more than half of what was held is gone."""
+    n = lambda k: F.count_if(F.col("change") == k)
+    per = changes.agg(n("added").alias("added"), n("removed").alias("removed"), n("unchanged").alias("unchanged"))
+    held = F.col("removed") + F.col("unchanged")
+    return per.select("added", "removed", "unchanged", ((F.col("added") == 0) & (F.col("removed") == 0)).alias("noop"), (F.col("removed") * 2 > held).alias("rebuild"))
+
+
 def reconcile(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
     """Members after both histories: additions of either side stay, removals of either side win."""
     flags = None
@@ -69,9 +80,18 @@ def validation(candidates: DataFrame, held: DataFrame, key: str, evidence: str,
     return candidates.join(known, F.col(key) == F.col("k"), "left").withColumn("status", status).drop("k")
 
 
+def contradicted(candidates: DataFrame, held: DataFrame) -> DataFrame:
+    """Validated candidates that say something else under the label of a block that stands are contradicted. ``held``: (label,
+    statement)."""
+    said = held.where(F.col("label").isNotNull()).groupBy(F.lower(F.trim("label")).alias("hl")).agg(F.collect_set("statement").alias("said"))
+    rows = candidates.join(said, F.lower(F.trim(F.col("label"))) == F.col("hl"), "left")
+    other = (F.col("status") == "validated") & F.col("said").isNotNull() & ~F.coalesce(F.array_contains("said", F.col("statement")), F.lit(False))
+    return rows.withColumn("status", F.when(other, "contradicted").otherwise(F.col("status"))).drop("hl", "said")
+
+
 def commit(candidates: DataFrame) -> DataFrame:
     """All or nothing: the validated candidates, or none while one is rejected or pending."""
-    blocked = candidates.agg(F.count_if(F.col("status").isin("rejected", "pending_review")).alias("blocked"))
+    blocked = candidates.agg(F.count_if(F.col("status").isin("rejected", "pending_review", "contradicted")).alias("blocked"))
     return candidates.crossJoin(F.broadcast(blocked)).where("blocked = 0 and status = 'validated'").drop("blocked")
 
 
@@ -90,6 +110,43 @@ def merkle_levels(ids: list[str]) -> list[list[bytes]]:
     return levels
 
 
+def merkle_tables(ids: DataFrame) -> list[DataFrame]:
+    """The levels of the same tree as tables (r, h), h in hex, from the leaves up: sorted and numbered by range partitions, then
+    each level is an aggregation of the one below."""
+    leaf = F.sha2(F.concat(F.unhex(F.lit("00")), F.col("id").cast("binary")), 256)
+    level = saved(numbered(ids.select(F.col("id").cast("string").alias("id")), ["id"]).select("r", leaf.alias("h")), "merkle")
+    levels, n = [level], level.count()
+    while n > 1:
+        pair = level.groupBy(F.floor(F.col("r") / 2).alias("r")).agg(F.array_sort(F.collect_list(F.struct("r", "h"))).alias("x"))
+        both = F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(F.col("x")[0]["h"]), F.unhex(F.get("x", F.lit(1))["h"])), 256)
+        level = saved(pair.select("r", F.when(F.size("x") == 2, both).otherwise(F.col("x")[0]["h"]).alias("h")), "merkle")
+        levels, n = [*levels, level], -(-n // 2)
+    return levels
+
+
+def merkle_root_of(levels: list[DataFrame]) -> str:
+    top = levels[-1].first()
+    return top.h if top else hashlib.sha256(b"").hexdigest()
+
+
+def merkle_proofs(levels: list[DataFrame], places: DataFrame) -> DataFrame:
+    """(r, proof): for the leaves at the few places (r) the path of (level, side, h), which ``merkle_verify`` takes. Each level
+    is read once for all of them."""
+    at = places.select("r", F.col("r").alias("at"))
+    steps = None
+    for i, level in enumerate(levels[:-1]):
+        other = F.col("at") + F.when(F.col("at") % 2 == 0, 1).otherwise(-1)
+        side = F.when(F.col("at") % 2 == 0, "right").otherwise("left")
+        got = F.broadcast(at.withColumn("other", other)).join(level.select(F.col("r").alias("other"), "h"), "other").select("r", F.struct(F.lit(i).alias("level"), side.alias("side"), "h").alias("s"))
+        steps = got if steps is None else steps.unionByName(got)
+        at = at.withColumn("at", F.floor(F.col("at") / 2))
+    none = F.array().cast("array<struct<level:int,side:string,h:string>>")
+    if steps is None:
+        return places.select("r", none.alias("proof"))
+    per = steps.groupBy("r").agg(F.array_sort(F.collect_list("s")).alias("proof"))
+    return places.select("r").join(per, "r", "left").select("r", F.coalesce("proof", none).alias("proof"))
+
+
 def merkle_root(ids: list[str]) -> str:
     levels = merkle_levels(ids)
     return levels[-1][0].hex() if levels[0] else hashlib.sha256(b"").hexdigest()

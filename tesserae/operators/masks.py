@@ -27,14 +27,43 @@ def range_scan(docs: DataFrame, key: str, low=None, high=None, prefix: str | Non
     return out if prefix is None else out.where(F.startswith(F.col(key), F.lit(prefix)))
 
 
-def facet_clause(column: str | Column, values: list, every: bool = False, negate: bool = False) -> Column:
-    """ANY or ALL of the values in a scalar or array facet. Null facets match only a negated clause."""
+def facet_clause(column: str | Column, values: list, every: bool = False, negate: bool = False, array: bool = False) -> Column:
+    """ANY or ALL of the values in a scalar facet, or with ``array`` in one that holds several. Null facets match only a negated
+    clause. A scalar holds all of the values only if they are one."""
     c = F.col(column) if isinstance(column, str) else column
-    hit = F.size(F.array_except(F.array(*map(F.lit, values)), c)) == 0 if every else c.isin(values)
-    hit = F.coalesce(hit, F.lit(False))
+    wanted = list(dict.fromkeys(values))
+    held = F.array(*map(F.lit, wanted))
+    if array:
+        hit = F.size(F.array_except(held, c)) == 0 if every else F.arrays_overlap(c, held)
+    else:
+        hit = (c == F.lit(wanted[0]) if len(wanted) == 1 else F.lit(False)) if every else c.isin(wanted)
+    hit = F.coalesce(hit & c.isNotNull(), F.lit(False))
     return ~hit if negate else hit
 
 
+def facet_filter(rows: DataFrame, column: str, values: list, every: bool = False, negate: bool = False) -> DataFrame:
+    """The rows that the clause admits, whether the column is an array or not."""
+    return rows.where(facet_clause(column, values, every, negate, dict(rows.dtypes)[column].startswith("array")))
+
+
+def ids_or_keys(identities: DataFrame, blocks: DataFrame, ids: list = (), keys: list[tuple[str, str]] = ()) -> DataFrame:
+    """(id): the blocks asked for by id, and those that an identity names: (key, value) pairs, folded."""
+    out = blocks.where(F.col("block_id").isin(list(ids))).select(F.col("block_id").alias("id"))
+    for key, value in keys:
+        out = out.unionByName(identities.where((F.col("key") == key) & (F.col("value") == F.lit(value.strip().lower()))).select(F.col("block_id").alias("id")))
+    return out.distinct()
+
+
+def federated_mask(hits: DataFrame, owners: DataFrame, masks: dict[str, DataFrame | None]) -> DataFrame:
+    """Hits (id, ...) that a module which owns them admits. ``owners``: (id, memory_type); a module without a mask admits all."""
+    free = [m for m, mask in masks.items() if mask is None]
+    admitted = owners.where(F.col("memory_type").isin(free) | ~F.col("memory_type").isin(list(masks))).select("id")
+    for m, mask in masks.items():
+        if mask is not None:
+            admitted = admitted.unionByName(owners.where(F.col("memory_type") == m).join(mask.select("id"), "id", "left_semi").select("id"))
+    return hits.join(admitted.distinct(), "id", "left_semi")
+
+
 def masked(rows: DataFrame, mask: DataFrame | None) -> DataFrame:
     """Rows whose id is in the mask; without a mask, all."""
     return rows if mask is None else rows.join(mask.select("id"), "id", "left_semi")

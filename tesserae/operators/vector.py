@@ -5,32 +5,54 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.text import analyse
 
 #: Vectors and queries of one key that are compared at once.
 PART, SLICE = 4096, 1 << 16
 
 
-def brute_vector(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", mask: DataFrame | None = None) -> DataFrame:
-    """(id, score): the k unit vectors of most cosine, clamped at 0, ties by id. The mask is applied before the cut."""
+def brute_vector(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", mask: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """(id, score): the k unit vectors of most cosine, or all with k = 0, clamped at 0, those of ``least`` or more, ties by id. The
+    mask is applied before the cut."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     if mask is not None:
         rows = rows.join(mask.select("id"), "id", "left_semi")
     q = F.lit(query) if not isinstance(query, list) else F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.select("id", F.round(F.greatest(F.lit(0.0), scoring.dot(F.col("v"), q)), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(k)
+    scored = rows.select("id", F.greatest(F.lit(0.0), scoring.dot(F.col("v"), q)).alias("score"))
+    if least is not None:
+        scored = scored.where(F.col("score") >= least)
+    return scored.orderBy(F.desc("score"), "id").limit(k) if k else scored
 
 
 def hashed_terms(docs: DataFrame, dims: int = scoring.DIMS) -> DataFrame:
-    """(id, bucket, value): sparse unit vectors of the signed token counts of (id, tokens)."""
-    raw = docs.select("id", F.explode("tokens").alias("t")).groupBy("id", "t").count()
-    signed = raw.select("id", scoring.hash_bucket(F.col("t"), dims).alias("bucket"), (scoring.hash_sign(F.col("t")) * F.col("count")).alias("x"))
-    summed = signed.groupBy("id", "bucket").agg(F.sum("x").alias("x")).where("x <> 0")
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
-    return summed.select("id", "bucket", F.round(F.col("x") / norm, 6).alias("value"))
+    """(id, bucket, value): sparse unit vectors of the signed token counts of (id, tokens), made inside each text."""
+
+    def sparse(values: pd.Series) -> pd.Series:
+        known = scoring.Hashed()
+
+        def one(words):
+            v = scoring.hashing_vector(words, known, dims)
+            return [{"bucket": int(i), "value": float(v[i])} for i in np.flatnonzero(v)]
+
+        return values.map(one)
+
+    found = docs.select("id", F.explode(F.pandas_udf(sparse, "array<struct<bucket:int,value:double>>")("tokens")).alias("p"))
+    return found.select("id", "p.bucket", "p.value")
+
+
+def hashed_vectors(texts: Column | str, dims: int = scoring.DIMS) -> Column:
+    """Dense unit vectors of whole texts; null for a text without a token."""
+
+    def dense(values: pd.Series) -> pd.Series:
+        known = scoring.Hashed()
+        made = [scoring.hashing_vector(analyse(t or ""), known, dims) for t in values]
+        return pd.Series([v if v.any() else None for v in made], index=values.index, dtype=object)
+
+    return F.pandas_udf(dense, "array<double>")(texts)
 
 
 def best_chunk(hits: DataFrame) -> DataFrame:
