@@ -168,7 +168,7 @@ def keep_winners(docs: DataFrame, grouped: DataFrame, id_col: str) -> DataFrame:
 class WordHashes(dict):
     """word -> 64-bit hash, filled on demand. Bounded: emptied once it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

@@ -131,17 +131,19 @@ def _keys(nodes: DataFrame, threshold: float, most: int | None = None) -> DataFr
 
     def emit(parts):
         bands = Bands(threshold)
-        for b in parts:
-            keys, at, sizes = [], [], []
-            for i, members in enumerate(b.column("members")):
-                m = np.frombuffer(members.as_buffer(), np.uint32)
-                for k, own in block_keys(m, bands, most):
-                    keys.append(k)
-                    at.append(np.full(len(k), i))
-                    sizes.append(np.full(len(k), len(m) if own else -len(m), np.int32))
-            if keys:
-                at = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column("node").take(at), b.column("label").take(at), pa.array(np.concatenate(sizes))], schema=schema)
+        for whole in parts:
+            for start in range(0, whole.num_rows, 1024):  # some 100,000 keys at once
+                b = whole.slice(start, 1024)
+                keys, at, sizes = [], [], []
+                for i, members in enumerate(b.column("members")):
+                    m = np.frombuffer(members.as_buffer(), np.uint32)
+                    for k, own in block_keys(m, bands, most):
+                        keys.append(k)
+                        at.append(np.full(len(k), i))
+                        sizes.append(np.full(len(k), len(m) if own else -len(m), np.int32))
+                if keys:
+                    at = pa.array(np.concatenate(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column("node").take(at), b.column("label").take(at), pa.array(np.concatenate(sizes))], schema=schema)
 
     return nodes.select("node", "label", "members").mapInArrow(emit, "key long, node long, label long, size int")
 
