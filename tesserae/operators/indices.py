@@ -11,7 +11,7 @@ import json
 import uuid
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,24 +25,31 @@ from .scratch import saved
 MODEL = "hashing/256"
 TABLES = ("postings", "terms", "facets", "keys", "identities", "edges", "vectors", "blocks", "meta")
 KIND_OF = {"identities": "hash_map", "facets": "bitmap", "keys": "btree", "postings": "inverted", "vectors": "vector", "edges": "graph"}
-_POSTING = "array<struct<term:string,tf:bigint,places:array<int>>>"
 
 
-def _postings(fields: pd.Series) -> pd.Series:
+def _postings(parts):
     """Of every block the terms in both spaces, weights in thousandths, with the places of raw tokens; a field begins one place
     further, so no phrase reaches over its end."""
-
-    def one(parts):
-        weights, places, at = defaultdict(int), defaultdict(list), 0
-        for f in parts if parts is not None else ():
-            found = analyse(f["text"] or "")
-            for i, t in enumerate(found):
-                weights[t] += round(f["weight"] * 1000)
-                places[t].append(at + i)
-            at += len(found) + 1
-        return [x for t, w in weights.items() for x in ({"term": f"t:{t}", "tf": w, "places": None}, {"term": f"x:{t}", "tf": w, "places": places[t]})]
-
-    return fields.map(one)
+    for b in parts:
+        at, terms, tf, places, lengths = [], [], [], [], []
+        for i, fields in enumerate(b.column("fields").to_pylist()):
+            weights, held, place, length = defaultdict(int), defaultdict(list), 0, 0
+            for f in fields or ():
+                found, weight = analyse(f["text"] or ""), round(f["weight"] * 1000)
+                for k, t in enumerate(found, place):
+                    weights[t] += weight
+                    held[t].append(k)
+                length += len(found)
+                place += len(found) + 1
+            for t, w in weights.items():
+                terms += [f"t:{t}", f"x:{t}"]
+                tf += [w, w]
+                places += [None, held[t]]
+            at += [i] * (2 * len(weights))
+            lengths += [length] * (2 * len(weights))
+        rows = pa.array(at, pa.int32())
+        columns = [b.column("memory_type").take(rows), pa.array(terms, pa.string()), b.column("block_id").take(rows), pa.array(tf, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(lengths, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["memory_type", "term", "block_id", "tf", "places", "length"])
 
 
 def _moved(places: Column, by: int) -> Column:
@@ -93,15 +100,15 @@ class IndexSet:
 
         def write(df, table, *sort):
             schemas[table] = df.schema.jsonValue()
-            df = df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df
+            # in the order that writing by module asks for, so it isn't sorted again
+            df = df.repartitionByRange("memory_type", *sort).sortWithinPartitions("memory_type", *sort) if sort else df
             df.write.partitionBy("memory_type").parquet(f"{at}/{table}")
             return spark.read.schema(df.schema).parquet(f"{at}/{table}")
 
         size = "case when term like 'x:%' then size(places) else 0 end"
-        found = live.select("memory_type", "block_id", F.pandas_udf(_postings, _POSTING)("fields").alias("p"))
-        length = F.aggregate(F.filter("p", lambda p: p["places"].isNotNull()), F.lit(0), lambda n, p: n + F.size(p["places"])).alias("length")
-        found = found.withColumn("length", length).select("memory_type", "block_id", "length", F.explode("p").alias("p")).select("memory_type", "p.term", "block_id", "p.tf", "p.places", "length")
-        postings = write(found, "postings", "term", "block_id")
+        kind = dict(live.dtypes)["block_id"]
+        found = live.select("memory_type", "block_id", "fields").mapInArrow(_postings, f"memory_type string, term string, block_id {kind}, tf long, places array<int>, length int")
+        postings = write(saved(found, "postings"), "postings", "term", "block_id")  # sampled for its ranges, so made before
         write(postings.groupBy("memory_type", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.expr(size)).alias("occurrences")), "terms", "term")
         for table, column in (("facets", "facets"), ("keys", "keys"), ("identities", "identities")):
             write(projection.pairs(live, column), table, "key", "value")
