@@ -80,7 +80,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows with the same text the one with the smallest id stays; null ids come last; ties on the id go to the smallest
     hash over all columns, and of rows equal in every column one stays. A null text is no text: such rows all stay. Empty
-    texts are texts and equal each other. An empty table gives an empty table. Extra columns of any name pass through.
+    texts are texts and equal each other. Texts of any length are compared whole, by SHA-256. An empty table gives an empty
+    table. Extra columns of any name pass through.
     """
     return keep_winners(docs, groups(docs, id_col, text_col, counters), id_col)
 

@@ -95,7 +95,9 @@ def line_dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, id_col: str = "d
     within one edit, whether or not that earlier line stays itself. Lines are compared with outer blanks trimmed; lines
     of fewer than ``least_chars`` characters, empty ones too, always stay and drop nothing. Null ids come last. A null
     text gives a null text and no lines. Rows that are equal in every column count as one document and are returned
-    alike. Lines that stay are unchanged; a document whose lines all go has an empty text. Other columns are not carried.
+    alike. Lines that stay are unchanged; a document whose lines all go has an empty text. Lines of any length are compared
+    whole; an empty table gives an empty table. Other columns are not carried, except that they tell rows apart. Lines that share
+    a variant differ in one place of it, so no variant has more lines than its length times the characters in use.
     """
     split = split_lines(docs, id_col, text_col, least_chars)
     rows = materialize(split.select("id", "row", "at", "h", half_keys().alias("keys")), "line-rows")

@@ -109,7 +109,9 @@ def mix(
     marginal that isn't given is the corpus's own smoothed by ``powers``. Null categories are a category of their own
     (named by MISSING). A row stays where a seeded hash of its id is below the probability of its cell, so rows that share
     an id and a cell stay or go together, and rows with a null id too. Empty texts have no tokens: in a cell with tokens
-    they have its probability, in a cell without any they go. An empty table gives an empty table.
+    they have its probability, in a cell without any they go. Texts of any length are counted whole. An empty table gives an
+    empty table. Extra columns of any name pass through. More than ``MAX_CELLS`` cells are refused with an error, since a category
+    is then no category; nothing is left out.
     """
     source, lang, topic = _columns(docs, source_col, lang_col, topic_col, text_col, topics)
     cells = docs.select(source.alias("s"), lang.alias("l"), topic.alias("t"), token_count(q(text_col)).cast("long").alias("n")).groupBy("s", "l", "t").agg(F.sum("n").alias("n"))

@@ -310,7 +310,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, id
 
     The row with the smallest id stays; null ids come last; ties go to the smallest hash over all columns, and of rows
     equal in every column one stays. Rows without a word (null, empty or punctuation-only text) are near nothing and all
-    stay. An empty table gives an empty table. Extra columns of any name pass through.
+    stay. Texts of any length are compared whole. An empty table gives an empty table. Extra columns of any name pass through.
     """
     rows, roots, _ = node_join(docs, threshold, n, id_col, text_col)
     labelled = rows.join(roots, "node", "left").select("id", "row", F.coalesce("root", "node").alias("root"))

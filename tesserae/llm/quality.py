@@ -115,15 +115,18 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 20_000, seed: int = 7) -> Forest:
     """Fit on at most ``max_train`` labelled documents, those of the smallest seeded hash of the id.
 
-    Labels without an id or a value are left out; of several labels of one id the lowest counts; labels without a
-    document are left out. With no label, or labels of one class alone, the model is a constant.
+    Ids are of any type. Labels without an id or a value are left out; of several labels of one id the lowest counts; labels
+    without a document are left out; of documents that share an id one is taken. With no label, or labels of one class alone, the model is a constant.
     """
     chosen = (
         labels.where(q(id_col).isNotNull() & q(label_col).isNotNull())
         .groupBy(q(id_col).alias("label_id")).agg(F.min(q(label_col).cast("double")).alias("label"))
         .orderBy(F.xxhash64(F.col("label_id"), F.lit(seed)), "label_id").limit(max_train)
     )
-    sample = docs.select(q(id_col).alias("label_id"), q(text_col).alias("text")).join(F.broadcast(chosen), "label_id")
+    # one row for each id, so no more than max_train: of several that share it the one whose text has the smallest hash
+    found = docs.select(q(id_col).alias("label_id"), q(text_col).alias("text")).join(F.broadcast(chosen), "label_id")
+    sample = found.groupBy("label_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    kind = dict(sample.dtypes)["label_id"]
 
     def featurise(parts):
         for pdf in parts:
@@ -131,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out["x"] = list(matrix(pdf["text"]).astype(np.float64)) if len(pdf) else []
             yield out
 
-    rows = sample.select("label_id", "label", "text").mapInPandas(featurise, "label_id long, label double, x array<double>").toPandas()
+    rows = sample.select("label_id", "label", "text").mapInPandas(featurise, f"label_id {kind}, label double, x array<double>").toPandas()
     rows = rows.sort_values("label_id", kind="stable")
     x = np.array(rows["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
     return fit(x, (rows["label"].to_numpy(float) > 0.5).astype(float))

@@ -202,7 +202,7 @@ def repeated_spans(docs: DataFrame, length: int = passages.LENGTH, gram: int = p
 
     Words are separated by ASCII white space and compared exactly. Texts that are null, empty or shorter than ``length``
     words have no span. Rows equal in every column are one document; rows that share an id but differ are two, and both
-    report under that id. A null id is reported as null. An empty table gives no spans. Other columns take no part.
+    report under that id. A null id is reported as null. Texts of any length are searched whole. An empty table gives no spans. Other columns take no part.
     """
     if not 1 <= gram <= length:
         raise ValueError("a gram must be of 1 to `length` words")

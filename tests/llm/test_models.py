@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import ann, mixing, packing, quality, secrets
 
@@ -54,6 +55,15 @@ def test_quality_filter(spark):
     assert quality.statistics(None) == quality.statistics("")
 
 
+def test_quality_takes_ids_of_any_type_and_repeated_ids(spark):
+    body = texts(90)
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(body)] + [("d1", "another text"), (None, "no id")], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 > 0)) for i in range(60)], "doc_id string, quality int")
+    kept = [r.doc_id for r in quality.quality_filter(docs, labels).collect()]
+    assert np.mean([(f"d{i}" in kept) == (i % 3 > 0) for i in range(60, 90)]) > 0.9
+    assert len(quality.train(docs, labels, max_train=20).value) > 0
+
+
 def test_quality_on_labelled_documents(spark):
     d, lab = (pd.read_parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     m = d.merge(lab, on="doc_id").sort_values("doc_id")
@@ -197,6 +207,61 @@ def test_mix_follows_targets(spark):
     assert list(got.columns) == df.columns
 
 
+def brute_cells(rows, topics=8):
+    """{id: (source, lang, topic)} by plain loops, from (id, text, lang, source)."""
+    from collections import Counter
+
+    import xxhash
+
+    def topic(text):
+        words = Counter(w for w in mixing.WORD.findall((text or "").lower()) if len(w) > 4)
+        if not words:
+            return "0"
+        return str(xxhash.xxh64_intdigest(min(words, key=lambda w: (-words[w], w)).encode()) % topics)
+
+    return {i: (s if s is not None else mixing.MISSING, lang if lang is not None else mixing.MISSING, topic(t)) for i, t, lang, s in rows}
+
+
+def test_mix_against_brute_force(spark):
+    """Topics, cells and kept rows once more by plain loops; the fit by an iteration of its own over dictionaries."""
+    from collections import defaultdict
+
+    rng = np.random.default_rng(8)
+    words = [f"river{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 60)))), ["en", "de", None][i % 3], f"s{i % 4}") for i in range(300)] + [(900, None, "en", None), (901, "", "en", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cell_of = brute_cells(rows)
+    counts = {r.doc_id: r.n for r in df.select("doc_id", packing.token_count(F.col("text")).alias("n")).collect()}
+    tokens = defaultdict(float)
+    for i, *_ in rows:
+        tokens[cell_of[i]] += counts[i]
+    total = sum(tokens.values())
+    share = {c: n / total for c, n in tokens.items()}
+    goals = []
+    for axis, power in enumerate((0.5, 0.7, 0.0)):
+        sums = defaultdict(float)
+        for c, n in tokens.items():
+            sums[c[axis]] += n
+        w = {k: n**power if n > 0 else 0.0 for k, n in sums.items()}
+        goals.append({k: x / sum(w.values()) for k, x in w.items()})
+    factor = {c: 1.0 if n > 0 else 0.0 for c, n in tokens.items()}
+    for _ in range(500):
+        for axis in range(3):
+            now = defaultdict(float)
+            for c in share:
+                now[c[axis]] += share[c] * factor[c]
+            factor = {c: f * goals[axis][c[axis]] / now[c[axis]] if now[c[axis]] else 0.0 for c, f in factor.items()}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1, mid * factor[c]) * n for c, n in tokens.items()) < 0.5 * total else (low, mid)
+    drawn = {r.doc_id: r.u for r in df.select("doc_id", (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 12).cast("double") / float(1 << 52)).alias("u")).collect()}
+    want = {i for i, *_ in rows if drawn[i] < min(1, high * factor[cell_of[i]])}
+    near = {i for i in drawn if abs(drawn[i] - min(1, high * factor[cell_of[i]])) < 1e-6}
+    got = {r.doc_id for r in mixing.mix(df).collect()}
+    assert got - near == want - near and 0 < len(got) < len(rows)
+
+
 def test_mix_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, None, "x", "y"), (None, "some words here", "en", None, "x", "y"), (2, "", "en", "a", "x", "y"), (3, "some words here", "en", "a", "x", "y"), (3, "some words here", "en", "a", "x", "y")], SCHEMA)
     got = mixing.mix(df, keep_share=1.0).collect()
