@@ -176,3 +176,18 @@ def test_line_dedup_against_brute_force(spark):
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want
     assert line_dedup.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_line_dedup_odd_rows(spark):
+    """Null ids come last, ties on the id go to the row's hash, equal rows are returned alike, names may clash, lines may be very
+    long, and lines that are too short stay."""
+    long = "abcdefghij" * 4000
+    data = [(None, "the very same line", 1), (2, "the very same line\nshort", 1), (2, "the very same line\nshort", 1), (3, "the very same linE", 2), (4, long, 0), (5, long + "x", 0), (6, "short\nshort", 0), (7, None, 0), (8, "", 0)]
+    df = spark.createDataFrame(data, "doc_id long, text string, `line` int").withColumnRenamed("line", "h")
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(df).collect()), key=repr)
+    want = [(2, "the very same line\nshort", 2, 0)] * 2 + [(3, "", 1, 1), (4, long, 1, 0), (5, "", 1, 1), (6, "short\nshort", 2, 0), (7, None, 0, 0), (8, "", 1, 0), (None, "", 1, 1)]
+    assert got == sorted(want, key=repr)
+    tied = spark.createDataFrame([(1, "another line of text", "a"), (1, "another line of text!", "b")], "doc_id long, text string, row string")
+    assert sorted(r.n_dropped for r in line_dedup.line_dedup(tied).collect()) == [0, 1]
+    named = spark.createDataFrame([("b", "a line in a table"), ("a", "a line in a table")], "name string, body string")
+    assert {r.name: r.text for r in line_dedup.line_dedup(named, id_col="name", text_col="body").collect()} == {"a": "a line in a table", "b": ""}
