@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. ``run`` writes every stage's result
 to the shared folder as Parquet and reads it back as the next one's input. SQL can't express the classifier, so
-ORACLE_SQL is None and the stages are tested against brute force.
+ORACLE_SQL is None; tests hold every stage on its own input against a computation by plain loops.
+
+All stages but the last return the columns of their input, extra ones of any name too. Null ids come last where a smallest
+id decides; rows that share an id are told apart by all their columns, and of rows equal in every column exact_dedup keeps
+one. A null text is judged as an empty one, is a copy of nothing and near nothing, has no tokens, and goes where its cell
+of the mixture has none. Texts are read whole, however long. A table without rows gives one without rows in every stage;
+without usable labels quality keeps all rows. Only quality reads a second table, ``labels``.
 """
 
 from __future__ import annotations
