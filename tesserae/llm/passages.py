@@ -165,10 +165,13 @@ def located(places: DataFrame, ranges: DataFrame) -> DataFrame:
 def merged(ranges: str, reach: int):
     """Sorted ranges (a, b), none of which lies inside another, joined where the next begins at most ``reach`` after the end of the
     one before."""
-    all_ = F.col(ranges)
-    opens = F.filter(all_, lambda r, i: (i == 0) | (r["a"] > F.get(all_, i - 1)["b"] + reach))
-    closes = F.filter(all_, lambda r, i: (i == F.size(all_) - 1) | (F.get(all_, i + 1)["a"] > r["b"] + reach))
-    return F.zip_with(opens, closes, lambda o, c: F.struct(o["a"].alias("a"), c["b"].alias("b")))
+
+    def one(all_):
+        opens = F.filter(all_, lambda r, i: (i == 0) | (r["a"] > F.get(all_, i - 1)["b"] + reach))
+        closes = F.filter(all_, lambda r, i: (i == F.size(all_) - 1) | (F.get(all_, i + 1)["a"] > r["b"] + reach))
+        return F.zip_with(opens, closes, lambda o, c: F.struct(o["a"].alias("a"), c["b"].alias("b")))
+
+    return F.transform(F.array(F.col(ranges)), one)[0]  # bound by a lambda, so what makes the array is computed once
 
 
 def spans(docs: DataFrame, windows: DataFrame, length: int, id_col: str) -> DataFrame:
