@@ -63,13 +63,13 @@ def anchor_runs(words: np.ndarray, length: int, gram: int) -> dict[str, np.ndarr
     lefts, rights = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
     lefts[left] = span_hashes(words, at[left] - side, at[left] + gram) >> 32 | 1
     rights[right] = span_hashes(words, at[right], at[right] + gram + side) >> 32 | 1
-    return {"h": grams[at], "c": whole, "l": lefts, "r": rights, "first": first, "count": count}
+    return {"h": grams[at], "c": whole, "l": lefts, "r": rights, "first": first, "count": count, "o": at - first}
 
 
 def scanned(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
-    """(h, c, l, r, d, first, count) of every run of every document; d is the hash of the whole row. l and r are 0 where a
-    side is too short to matter."""
-    kinds = {"h": pa.int64(), "c": pa.int64(), "l": pa.int32(), "r": pa.int32(), "d": pa.int64(), "first": pa.int32(), "count": pa.int16()}
+    """(h, c, l, r, d, first, count, o) of every run of every document; d is the hash of the whole row, o the place of the anchor
+    in the run. l and r are 0 where a side is too short to matter."""
+    kinds = {"h": pa.int64(), "c": pa.int64(), "l": pa.int32(), "r": pa.int32(), "d": pa.int64(), "first": pa.int32(), "count": pa.int16(), "o": pa.int16()}
     schema = pa.schema(list(kinds.items()))
 
     def build(parts):
@@ -93,13 +93,13 @@ def scanned(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame
             yield batch()
 
     source = docs.select(row_hash(docs).alias("d"), q(text_col).alias("text")).where(F.col("text").isNotNull())
-    return source.mapInArrow(build, "h long, c long, l int, r int, d long, first int, count short")
+    return source.mapInArrow(build, "h long, c long, l int, r int, d long, first int, count short, o short")
 
 
 def recurring(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
-    """(h, c, d, first, count, many, head, asked): the runs of anchors that occur twice. many: the content stands at two places,
+    """(h, c, d, first, count, many, head, asked, skip, take): the runs of anchors that occur twice. many: the content stands at two places,
     so all its windows repeat. head: this is the first place of the content. asked: it is to give the content's words, since
-    those may share windows with another. Written out. All is decided in one exchange of the short rows, by windows that
+    those may share ``take`` windows behind the first ``skip`` with another. Written out. All is decided in one exchange of the short rows, by windows that
     spill."""
     place = F.struct("d", "first")
     by = {k: Window.partitionBy(*k) for k in (("h",), ("h", "c"), ("h", "l"), ("h", "r"))}
@@ -110,8 +110,12 @@ def recurring(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFra
     for side in ("l", "r"):
         over = by["h", side]
         found = found.withColumn(f"s{side}", (F.col(side) != 0) & (F.min("c").over(over) != F.max("c").over(over)))
+    # a shared window has the left side of its anchor, so it begins no later than that, or the right side, so it ends no earlier
+    side = (length - gram + 1) // 2
+    skip = F.when(F.col("sl"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("o") + (gram + side - length)))
+    take = F.when(F.col("sr"), F.col("count")).otherwise(F.least(F.col("count"), F.col("o") - (side - 1))) - skip
     head = (F.col("lo.d") == F.col("d")) & (F.col("lo.first") == F.col("first"))
-    return materialize(found.select("h", "c", "d", "first", "count", "many", head.alias("head"), (head & (F.col("sl") | F.col("sr"))).alias("asked")), "passage-places")
+    return materialize(found.select("h", "c", "d", "first", "count", "many", head.alias("head"), (head & (F.col("sl") | F.col("sr"))).alias("asked"), skip.cast("short").alias("skip"), take.cast("short").alias("take")), "passage-places")
 
 
 def texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,8 +125,9 @@ def texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
 
 
 def segments(docs: DataFrame, places: DataFrame, text_col: str, length: int) -> DataFrame:
-    """(c, h, words, many): the 32-bit hashes of the words of every content that was asked for; copies of a row may repeat it."""
-    schema = pa.schema([("c", pa.int64()), ("h", pa.int64()), ("words", pa.binary()), ("many", pa.bool_())])
+    """(c, h, words, many, skip): the 32-bit hashes of the words of the windows that every content was asked for, behind its
+    first ``skip``; copies of a row may repeat it."""
+    schema = pa.schema([("c", pa.int64()), ("h", pa.int64()), ("words", pa.binary()), ("many", pa.bool_()), ("skip", pa.int32())])
 
     def build(parts):
         hashes, last = ByteHashes(), None
@@ -136,19 +141,22 @@ def segments(docs: DataFrame, places: DataFrame, text_col: str, length: int) ->
                 for r in runs:
                     out["c"].append(r["c"])
                     out["h"].append(r["h"])
-                    out["words"].append(words[r["first"] : r["first"] + r["count"] + length - 1].tobytes())
+                    start = r["first"] + r["skip"]
+                    out["words"].append(words[start : start + r["take"] + length - 1].tobytes())
+                    out["skip"].append(r["skip"])
                     out["many"].append(r["many"])
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    wanted = materialize(places.where("asked").groupBy("d").agg(F.collect_set(F.struct("c", "h", "first", "count", "many")).alias("runs")), "passage-asked")
+    wanted = materialize(places.where("asked").groupBy("d").agg(F.collect_set(F.struct("c", "h", "first", "skip", "take", "many")).alias("runs")), "passage-asked")
     source = texts(docs, wanted.select("d"), text_col, text_col).select("d", "text")
-    return source.join(wanted, "d").mapInArrow(build, "c long, h long, words binary, many boolean")
+    return source.join(wanted, "d").mapInArrow(build, "c long, h long, words binary, many boolean, skip int")
 
 
-def as_ranges(starts: np.ndarray) -> list[dict]:
-    """Sorted distinct window starts as runs of consecutive ones: [{a, b}], b exclusive."""
+def as_ranges(starts: np.ndarray, skip: int = 0) -> list[dict]:
+    """Sorted distinct window starts, moved by ``skip``, as runs of consecutive ones: [{a, b}], b exclusive."""
     if not len(starts):
         return []
+    starts = starts + skip
     cut = np.flatnonzero(np.diff(starts) > 1) + 1
     return [{"a": int(x[0]), "b": int(x[-1]) + 1} for x in np.split(starts, cut)]
 

@@ -34,9 +34,9 @@ def confirm(distinct: DataFrame, length: int) -> DataFrame:
     meet in one run of the sort order."""
     schema = pa.schema([("c", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
-    def decide(group: list[tuple[int, bytes, bool]]):
+    def decide(group: list[tuple[int, bytes, bool, int]]):
         keys, owner, start = [], [], []
-        for i, (_, words, many) in enumerate(group):
+        for i, (_, words, many, _) in enumerate(group):
             w = ngram_hashes(np.frombuffer(words, np.uint32).astype(np.uint64), length)
             keys += [w, w] if many else [w]
             owner += [np.full(len(w), i)] * (1 + many)
@@ -46,7 +46,7 @@ def confirm(distinct: DataFrame, length: int) -> DataFrame:
         yes = counts[inverse] > 1
         for i in np.unique(owner[yes]).tolist():
             if not group[i][2]:
-                yield group[i][0], passages.as_ranges(np.unique(start[yes & (owner == i)]))
+                yield group[i][0], passages.as_ranges(np.unique(start[yes & (owner == i)]), group[i][3])
 
     def build(parts):
         group, anchor, seen = [], None, set()
@@ -58,13 +58,13 @@ def confirm(distinct: DataFrame, length: int) -> DataFrame:
                 out["ranges"].append(ranges)
 
         for b in parts:
-            for c, h, words, many in zip(*(b.column(x).to_pylist() for x in ("c", "h", "words", "many"))):
+            for c, h, words, many, skip in zip(*(b.column(x).to_pylist() for x in ("c", "h", "words", "many", "skip"))):
                 if h != anchor:
                     flush()
                     group, anchor, seen = [], h, set()
                 if c not in seen:
                     seen.add(c)
-                    group.append((c, words, many))
+                    group.append((c, words, many, skip))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
             out["c"], out["ranges"] = [], []
         flush()

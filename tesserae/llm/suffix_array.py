@@ -350,10 +350,10 @@ def confirm(distinct: DataFrame, length: int, shards: int, memory: int) -> DataF
         table = table.take(pa.array(once))
         words = [np.frombuffer(w.as_buffer(), np.uint32) for chunk in table.column("words").chunks for w in chunk]
         ids, ranges = [], []
-        for i, (many, starts) in enumerate(zip(table.column("many").to_pylist(), repeated_windows(words, length, folder, memory))):
+        for i, (many, skip, starts) in enumerate(zip(table.column("many").to_pylist(), table.column("skip").to_pylist(), repeated_windows(words, length, folder, memory))):
             if len(starts) and not many:  # of a content at several places all windows repeat anyway
                 ids.append(int(c[i]))
-                ranges.append(passages.as_ranges(starts))
+                ranges.append(passages.as_ranges(starts, skip))
         return pa.Table.from_pydict({"c": ids, "ranges": ranges}, schema=schema)
 
     sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
