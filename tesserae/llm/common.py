@@ -45,16 +45,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the scratch table that ``materialize`` returned as ``df``, once nothing reads it any more."""
+    _delete(df.sparkSession, df._scratch)
+    _made[:] = [x for x in _made if x[1] != df._scratch]
 
 
 def sweep() -> None:
     """Delete every scratch table made so far. Call it once the results that read them have been written."""
     while _made:
-        spark, path = _made.pop()
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(*_made.pop())
 
 
 @atexit.register

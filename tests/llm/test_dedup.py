@@ -123,6 +123,60 @@ def test_every_near_pair_shares_enough_blocks():
             assert len(a & b) >= need
 
 
+def test_common_blocks_are_left_out_and_no_near_pair_is_lost():
+    """By the order of rarity every near pair still shares enough blocks, and texts of common words meet less often by chance."""
+    rng = np.random.default_rng(8)
+    bands = near_dup.Bands(near_dup.THRESHOLD)
+    common, p = rng.integers(0, 2**32, 200, dtype=np.uint32), 1 / np.arange(1, 201)
+    sets = [np.unique(np.concatenate([rng.choice(common, 90, p=p / p.sum()), rng.integers(0, 2**32, 60, dtype=np.uint32)])) for _ in range(150)]
+    words, counts = np.unique(np.concatenate(sets), return_counts=True)
+    rarity = near_dup.Rarity(words[counts > 1], counts[counts > 1], len(sets))
+
+    def keys(members, order):
+        return np.concatenate([k for k, _ in near_dup.block_keys(members, bands, rarity=order)])
+
+    def chance(order):
+        return int((np.unique(np.concatenate([keys(s, order) for s in sets]), return_counts=True)[1] - 1).sum())
+
+    assert chance(rarity) < chance(None) / 3
+    for s in sets:
+        other = s[rng.random(len(s)) > rng.random() * 0.14]
+        if near_dup.THRESHOLD * len(s) <= len(other) < len(s):
+            assert len(set(keys(s, rarity).tolist()) & set(keys(other, rarity).tolist())) >= bands.needs(np.array([len(other)]))[0]
+            split = [k.tolist() for at in (range(0, 30), range(30, len(bands.edges))) for k, _ in near_dup.block_keys(s, bands, rarity=rarity, probes=at)]
+            assert sorted(sum(split, [])) == sorted(keys(s, rarity).tolist())
+
+
+def test_near_classes_in_passes(spark, monkeypatch):
+    """Several passes find what plain loops find, and cover all probes."""
+    monkeypatch.setattr(near_dup, "PASS_KEYS", 1)
+    monkeypatch.setattr(near_dup, "PASSES", 3)
+    data = corpus(21, 40)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    passes = near_dup._passes(near_dup._sets(df, 1, "doc_id", "text").dropDuplicates(["node"]), near_dup.THRESHOLD)[1]
+    assert len(passes) == 3 and passes[0].start == 0 and all(a.stop == b.start for a, b in zip(passes, passes[1:]))
+    classes, _ = near_brute(data, near_dup.THRESHOLD, near_dup.NGRAM)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_classes(df).collect()} == classes
+
+
+def test_shuffle_files_are_deleted_once_a_table_is_written(spark):
+    import time
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size())}
+
+    before = shuffled()
+    near_dup.materialize(spark.range(1000).repartition(3, "id"), "test-free")
+    for _ in range(50):
+        if not (left := {x for x in shuffled() - before if x.startswith("shuffle_") and x.endswith(".data")}):
+            break
+        time.sleep(0.2)
+    assert not left
+
+
 def test_near_dedup_odd_rows(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     got = rows(near_dup.near_dedup(df))
