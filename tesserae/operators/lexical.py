@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.text import query_tokens, tokens
+from ..functions.text import encoded, lengths as sizes_of, query_tokens, runs, tokens
 
 
 def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -18,17 +17,19 @@ def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf)"""
-    return docs.select("id", F.explode(counted("tokens")).alias("p")).select("p.term", "id", "p.tf")
-
-
-def counted(tokens: Column | str) -> Column:
-    """Array of (term, tf) of an array of tokens: counted inside each text, so no text is shuffled for it."""
-
-    def count(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: [{"term": t, "tf": n} for t, n in Counter(v).items()])
-
-    return F.pandas_udf(count, "array<struct<term:string,tf:bigint>>")(tokens)
+    """(term, id, tf): counted inside each text, so no text is shuffled for it."""
+    return docs.select("id", "tokens").mapInArrow(_counted, f"term string, id {dict(docs.dtypes)['id']}, tf long")
+
+
+def _counted(parts):
+    """The postings of batches of (id, tokens), of some texts at a time."""
+    for b in parts:
+        sizes = sizes_of(b.column("tokens"))
+        for at, n in runs(sizes):
+            distinct, place = encoded(b.column("tokens").slice(at, n).flatten())
+            key, tf = np.unique(np.repeat(np.arange(n), sizes[at : at + n]) * max(1, len(distinct)) + place, return_counts=True)
+            row, term = np.divmod(key, max(1, len(distinct)))
+            yield pa.RecordBatch.from_arrays([distinct.take(pa.array(term)), b.column("id").slice(at, n).take(pa.array(row)), pa.array(tf.astype(np.int64))], names=["term", "id", "tf"])
 
 
 def positions(docs: DataFrame) -> DataFrame:
