@@ -39,17 +39,19 @@ def test_postings_come_in_batches_of_few_words():
     one = lambda t: [{"weight": 3.0, "text": "of all"}, {"weight": 1.0, "text": t}]
     fields = pa.array([*map(one, made), None, []], pa.list_(pa.struct([("weight", pa.float64()), ("text", pa.string())])))
     n = len(fields)
-    b = pa.RecordBatch.from_arrays([pa.array(["semantic"] * n), pa.array(range(n)), fields], names=["memory_type", "block_id", "fields"])
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), fields], names=["block_id", "fields"])
     got = list(indices._postings([b.slice(0, 0), b]))
-    assert len(got) > 3 and max(len(x.column("places").flatten()) for x in got) <= text.TOKENS + 202
-    rows = pa.Table.from_batches(got).to_pylist()
+    assert len(got) > 3 and max(sum(x.column("occurrences").to_pylist()) for x in got) <= text.TOKENS + 202
+    stored = pa.Table.from_batches(got).to_pylist()
+    rows = [{"term": r["term"]} | h for r in stored for h in r["held"]]
     for k in (0, 1700, 2999):
         held = {r["term"]: r for r in rows if r["block_id"] == k}
         found = tokens_of(made[k])
         places = {t: [i + 3 for i, x in enumerate(found) if x == t] for t in found} | {"of": [0], "all": [1]}
         assert {t: r["places"] for t, r in held.items()} == places
         assert all(r["tf"] == (3000 if t in ("of", "all") else 1000 * len(places[t])) and r["length"] == len(found) + 2 for t, r in held.items())
-    assert sum(r["lead"] for r in rows) == 3000
+    assert sum(r["documents"] for r in stored) == 3000 and sum(r["length"] for r in stored) == 3000 * 202
+    assert all(r["occurrences"] == sum(len(h["places"]) for h in r["held"]) for r in stored)
 
 
 def test_counts_and_vectors_come_in_batches_of_few_words():
